@@ -18,11 +18,6 @@ def q(pattern: str) -> str:
     return "'" + re2(pattern).replace("'", "''") + "'"
 
 
-def values(rows: list[tuple]) -> str:
-    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
-
-
 @query("t1_to_lines", "select doc_id, n, text from text_lines", ("text_lines",))
 def _(t):
     return L.to_lines(t.documents)
@@ -38,27 +33,12 @@ def _(t):
     return L.page_confidence(t.label_docs).select("doc_id", F.round("page_confidence", 6).alias("page_confidence"))
 
 
-_ALIASES = values([(f, i, a) for f, al in P.FIELD_ALIASES.items() for i, a in enumerate(al)])
-_PATTERNS = values([(f, i, re2(p)) for f, al in P.FIELD_PATTERNS.items() for i, p in enumerate(al)])
-_LITERAL_SQL = f"""lit as (select doc_id, field, n, text from (
-  select l.doc_id, a.field, l.n, l.text, row_number() over (partition by l.doc_id, a.field order by a.ord, l.n) rn
-  from label_lines l join (values {_ALIASES}) a(field, ord, alias) on contains(lower(l.text), a.alias)) where rn = 1)"""
-
-
-@query("t3_match_aliases", f"with {_LITERAL_SQL} select doc_id, field, n, text, 'literal' as source from lit", LABELS)
+@query("t3_match_aliases", "select doc_id, field, n, text, 'literal' as source from lit", ("keywords",))
 def _(t):
     return L.match_aliases(t.label_docs)
 
 
-_KEYWORD_SQL = f"""{_LITERAL_SQL},
- pat as (select doc_id, field, n, text from (
-  select l.doc_id, a.field, l.n, l.text, row_number() over (partition by l.doc_id, a.field order by a.ord, l.n) rn
-  from label_lines l join (values {_PATTERNS}) a(field, ord, p) on regexp_matches(l.text, a.p)) where rn = 1),
- kw as (select doc_id, field, n, text, 'literal' as source from lit union all
-  select p.*, 'pattern' from pat p where not exists (select 1 from lit where lit.doc_id = p.doc_id and lit.field = p.field))"""
-
-
-@query("t4_match_keywords", f"with {_KEYWORD_SQL} select * from kw", LABELS)
+@query("t4_match_keywords", "select * from kw", ("keywords",))
 def _(t):
     return L.match_keywords(t.label_docs)
 
@@ -296,7 +276,7 @@ def _(t):
     return L.future_date_check(t.label_docs, 2026, 6)
 
 
-_COUNTRY_SQL = f"""{_KEYWORD_SQL}, {_CONTEXT_SQL},
+_COUNTRY_SQL = f"""{_CONTEXT_SQL},
  cn as (select k.doc_id, k.text, arg_min(c.text, c.n) as word from kw k left join ctx c on c.doc_id = k.doc_id and c.n between k.n + 1 and k.n + 6
    and not c.near and regexp_matches(c.text, {q(P.COUNTRY_WORD)}) and not regexp_matches(c.text, {q(P.NUTRITION_ROW)})
   where k.field = 'country_of_origin' group by 1, 2),
@@ -305,7 +285,7 @@ _COUNTRY_SQL = f"""{_KEYWORD_SQL}, {_CONTEXT_SQL},
  country as (select doc_id, case when regexp_matches(v, {q(P.MADE_IN)}) then 'MADE IN ' || upper(regexp_extract(v, {q(P.MADE_IN)}, 1)) else v end as country from cj)"""
 
 
-@query("t24_country", f"with {_COUNTRY_SQL} select doc_id, country from country", LABELS)
+@query("t24_country", f"with {_COUNTRY_SQL} select doc_id, country from country", ("keywords",))
 def _(t):
     return L.country(t.label_docs)
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.operators.lines import emit, explode_lines, with_lines
+from labelwright.functions import patterns as P
+from labelwright.operators.lines import emit, explode_lines, match_keywords, with_lines
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
                "benchmark labels conversations").split()
@@ -96,11 +97,62 @@ def text_docs(t) -> DataFrame:
     return with_lines(t.documents).select("doc_id", "source", "lang", "text", "lines")
 
 
+def _alias_values(table: dict[str, list[str]], form) -> str:
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({quote(f)}, {i}, {quote(form(a))})" for f, al in table.items() for i, a in enumerate(al))
+
+
 _DUCK_LABEL_LINES = """label_lines as (
  select doc_id, row_number() over (partition by doc_id order by ord) - 1 as n, text from (
   select doc_id, unnest(ls) as text, generate_subscripts(ls, 1) as ord from (
    select p.k as doc_id, [{lines}] as ls from label_base p)) where text is not null)"""
 
+def base_fields(t) -> DataFrame:
+    """Keyword lines as fields, with the confidence of their line."""
+    conf = (60 + (F.col("doc_id") * 7 + F.col("n") * 13) % 40) / F.lit(100.0)
+    return match_keywords(label_docs(t)).select("doc_id", "field", F.col("text").alias("value"), conf.alias("confidence"))
+
+
+REGION_CLASS_SQL = ("element_at(array('product_identity','mrp','unit_sale_price','net_quantity','entity_details',"
+                    "'country_of_origin','mfg_date_batch','consumer_care','other'), cast((doc_id + pos) % 9 as int) + 1)")
+
+
+def regions(t) -> DataFrame:
+    d = detections(t).where("(doc_id + pos) % 4 = 0")
+    return d.select("doc_id", "pos", F.expr(REGION_CLASS_SQL).alias("class_name"),
+                    ((F.col("doc_id") * 3 + F.col("pos") * 5) % 10 / F.lit(10.0)).alias("detection_confidence"),
+                    F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("text")).alias("full_text"), "confidence")
+
+
+def words(t) -> DataFrame:
+    """Word boxes of label lines, as a word-level recogniser would give them."""
+    w = label_lines(t).select("doc_id", "n", F.posexplode(F.split("text", " ")).alias("word", "text"))
+    return w.select("doc_id", F.lit(1).alias("block"), F.floor(F.col("n") / 4).cast("int").alias("par"), F.col("n").alias("line"),
+                    "word", "text",
+                    F.when((F.col("doc_id") + F.col("word")) % 11 == 0, -1.0)
+                    .otherwise((50 + (F.col("doc_id") + F.col("n") * 3 + F.col("word") * 7) % 60).cast("double")).alias("conf"),
+                    (40 + F.col("word") * 60).alias("left"), (30 * F.col("n")).alias("top"),
+                    (8 * F.length("text")).alias("width"), F.lit(22).alias("height"))
+
+
+def panel_boxes(t) -> DataFrame:
+    side = F.when(F.col("doc_id") % 19 == 0, 250).otherwise(500)
+    x1, y1 = F.col("pos") * 37 % 200, (F.col("pos") * 53 + F.col("doc_id")) % 300
+    return detections(t).select("doc_id", "pos", x1.alias("x1"), y1.alias("y1"), (x1 + 100 + F.col("pos") * 5).alias("x2"),
+                                (y1 + 80).alias("y2"), side.alias("frame_w"), side.alias("frame_h"))
+
+
+def quads(t) -> DataFrame:
+    k = F.col("p_partkey")
+    w, skew = 300 + k % 100, k % 5 * 20
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    ten = F.lit(10)
+    return t.part.select(k.alias("code_id"), F.array(
+        point(ten, ten), point(ten + w, ten + skew), point(ten + w, F.lit(110)), point(ten, F.lit(110))).alias("polygon"),
+        F.when(k % 13 == 0, 200.0).otherwise(640.0).alias("frame_w"), F.lit(480.0).alias("frame_h"),
+        F.when(k % 9 != 0, 37.29).alias("reference_mm"))
+
+
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "label_base": ((), """label_base as (select p.p_partkey k, p.p_name nm, p.p_size sz, p.p_brand brand, p.p_type category,
   cast(p.p_retailprice as decimal(12,2)) pr, s.s_name sn, n.n_name cn from part p
@@ -115,6 +167,29 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
    generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(text) > 0)"""),
 }
 
+SQL_VIEWS.update({
+    "keywords": (("label_lines",), f"""lit as (select doc_id, field, n, text from (
+  select l.doc_id, a.field, l.n, l.text, row_number() over (partition by l.doc_id, a.field order by a.ord, l.n) rn
+  from label_lines l join (values {_alias_values(P.FIELD_ALIASES, str)}) a(field, ord, alias) on contains(lower(l.text), a.alias)) where rn = 1),
+ pat as (select doc_id, field, n, text from (
+  select l.doc_id, a.field, l.n, l.text, row_number() over (partition by l.doc_id, a.field order by a.ord, l.n) rn
+  from label_lines l join (values {_alias_values(P.FIELD_PATTERNS, P.re2)}) a(field, ord, p) on regexp_matches(l.text, a.p)) where rn = 1),
+ kw as (select doc_id, field, n, text, 'literal' as source from lit union all
+  select p.*, 'pattern' from pat p where not exists (select 1 from lit where lit.doc_id = p.doc_id and lit.field = p.field))"""),
+    "base_fields": (("keywords",), """base_fields as (select doc_id, field, text as value,
+  (60 + (doc_id * 7 + n * 13) % 40) / 100.0::double as confidence from kw)"""),
+    "regions": (("detections",), """regions as (select doc_id, pos, ['product_identity','mrp','unit_sale_price','net_quantity','entity_details',
+  'country_of_origin','mfg_date_batch','consumer_care','other'][(doc_id + pos) % 9 + 1] as class_name,
+  ((doc_id * 3 + pos * 5) % 10) / 10.0::double as detection_confidence, case when pos % 5 = 0 then '' else text end as full_text, confidence
+  from detections where (doc_id + pos) % 4 = 0)"""),
+    "words": (("label_lines",), """words as (select doc_id, 1 as block, n // 4 as par, n as line, word, text,
+  case when (doc_id + word) % 11 = 0 then -1.0 else 50 + (doc_id + n * 3 + word * 7) % 60 end::double as conf, 40 + word * 60 as left_, 30 * n as top,
+  8 * length(text) as width, 22 as height from (select doc_id, n, unnest(string_split(text, ' ')) as text,
+  generate_subscripts(string_split(text, ' '), 1) - 1 as word from label_lines))"""),
+    "panel_boxes": (("detections",), """panel_boxes as (select doc_id, pos, x1, y1, x1 + 100 + pos * 5 as x2, y1 + 80 as y2, side as frame_w, side as frame_h from (
+  select doc_id, pos, pos * 37 % 200 as x1, (pos * 53 + doc_id) % 300 as y1, case when doc_id % 19 = 0 then 250 else 500 end as side from detections))"""),
+})
+
 
 def with_views(names: tuple[str, ...], body: str) -> str:
     """Prefix a SQL body with the views it uses, in dependency order."""
