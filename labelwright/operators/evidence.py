@@ -163,9 +163,8 @@ def extract_fields(docs: DataFrame, *keep: str) -> DataFrame:
 
     staged = staged.withColumn("_name", descriptive)
     texts = F.array(
-        text_field("country_of_origin", F.coalesce(
-            F.when(M.country_remainder(L.country_text(lines)).isNull(), L.spatial_pair_value(L.box_col())["value"]),
-            L.country_text(lines))),
+        text_field("country_of_origin", let(L.country_text(lines), lambda c: F.coalesce(
+            F.when(M.country_remainder(c).isNull(), L.spatial_pair_value(L.box_col())["value"]), c))),
         named_field("common_generic_name_of_commodity"),
         text_field("net_quantity", _completed_quantity("net_quantity", False)),
         text_field("month_and_year_of_manufacture_or_packing", F.get(lines, L.date_near_index(lines))),
@@ -261,7 +260,7 @@ def ambiguous_fields(docs: DataFrame, fields: DataFrame, threshold: float = P.FI
 def structured_extraction(docs: DataFrame) -> DataFrame:
     """Leaves of the structured view: parsed value, raw text, recognition and extraction confidence."""
     lines = L.line_col()
-    fields = extract_fields(docs.withColumn("_doc", F.struct("lines", "detections")))
+    fields = extract_fields(docs)
     date_token = group(F.col("value"), P.DATE, 0)
     amount = F.when(F.col("field") == "unit_sale_price", M.unit_price_amount(F.col("value"))).otherwise(
         M.amount_value(F.get(M.amounts(F.col("value")), F.lit(0))))

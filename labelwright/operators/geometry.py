@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.functions.geometry_checks import finite
 from labelwright.functions.text import all_of, let
 
 # How many millimetres one unit is, and the geometry limits.
@@ -14,10 +15,6 @@ MAX_DISTORTION = 0.30
 MIN_COVERAGE = 0.30
 
 
-def finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-
-
 def bounds(polygon: Column) -> Column:
     """Bounding box of an array of ``[x, y]`` points."""
     xs, ys = F.transform(polygon, lambda p: p[0]), F.transform(polygon, lambda p: p[1])
@@ -67,9 +64,9 @@ def distortion(e: Column) -> Column:
 
 def text_height(polygon: Column) -> Column:
     """Shorter mean pair of opposite edges, so that rotation does not turn width into height; 0 when unusable."""
-    return let(edges(polygon), lambda e: F.when(
-        is_convex(polygon) & (distortion(e) <= MAX_DISTORTION),
-        F.least((e[0] + e[2]) / 2, (e[1] + e[3]) / 2)).otherwise(0.0))
+    return let(polygon, lambda p: let(edges(p), lambda e: F.when(
+        is_convex(p) & (distortion(e) <= MAX_DISTORTION),
+        F.least((e[0] + e[2]) / 2, (e[1] + e[3]) / 2)).otherwise(0.0)))
 
 
 def legibility(measured: DataFrame) -> DataFrame:

@@ -153,6 +153,29 @@ def quads(t) -> DataFrame:
         F.when(k % 9 != 0, 37.29).alias("reference_mm"))
 
 
+def revisions(t) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(k % 7 != 0, F.when(F.col("o_orderstatus") == "O", "PENDING_OFFICIAL_REVIEW")
+                    .when(F.col("o_orderstatus") == "P", "UNDER_OFFICIAL_REVIEW").otherwise("DECISION_RECORDED"))
+    return t.orders.select(
+        k.alias("revision_id"), F.col("o_custkey").alias("product_id"), (F.col("o_custkey") + k % 3 * 1000000).alias("manufacturer_id"),
+        F.col("o_orderdate").alias("created_at"), status.alias("review_status"), F.when(k % 5 != 0, (k % 101).cast("double")).alias("score"),
+        F.when(k % 4 != 0, k * 10).alias("image_key"), F.col("o_orderpriority").alias("priority"))
+
+
+def decisions(t) -> DataFrame:
+    actions = F.array(*[F.lit(a) for a in ("APPROVED", "REJECTED", "NEEDS_CORRECTION", "REQUIRES_PHYSICAL_INSPECTION")])
+    return t.events.where("event_type = 'purchase'").select(
+        F.col("user_id").alias("revision_id"), "event_id", F.get(actions, (F.col("event_id") % 4).cast("int")).alias("action"), F.col("ts").alias("decided_at"))
+
+
+def image_detections(t) -> DataFrame:
+    """Two images of each label; the second repeats lines in upper case and differs in some."""
+    both = detections(t).withColumn("image_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    second = F.when(F.col("pos") % 3 == 0, F.concat(F.upper("text"), F.lit(" "))).when(F.col("pos") % 3 == 1, F.concat(F.col("text"), F.lit(" x"))).otherwise(F.col("text"))
+    return both.select("doc_id", "image_id", "pos", F.when(F.col("image_id") == 1, second).otherwise(F.col("text")).alias("text"), "confidence")
+
+
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "label_base": ((), """label_base as (select p.p_partkey k, p.p_name nm, p.p_size sz, p.p_brand brand, p.p_type category,
   cast(p.p_retailprice as decimal(12,2)) pr, s.s_name sn, n.n_name cn from part p
@@ -182,6 +205,13 @@ SQL_VIEWS.update({
   'country_of_origin','mfg_date_batch','consumer_care','other'][(doc_id + pos) % 9 + 1] as class_name,
   ((doc_id * 3 + pos * 5) % 10) / 10.0::double as detection_confidence, case when pos % 5 = 0 then '' else text end as full_text, confidence
   from detections where (doc_id + pos) % 4 = 0)"""),
+    "revisions": ((), """revisions as (select o_orderkey as revision_id, o_custkey as product_id, o_custkey + o_orderkey % 3 * 1000000 as manufacturer_id, o_orderdate as created_at,
+  case when o_orderkey % 7 <> 0 then case o_orderstatus when 'O' then 'PENDING_OFFICIAL_REVIEW' when 'P' then 'UNDER_OFFICIAL_REVIEW' else 'DECISION_RECORDED' end end as review_status,
+  case when o_orderkey % 5 <> 0 then (o_orderkey % 101)::double end as score, case when o_orderkey % 4 <> 0 then o_orderkey * 10 end as image_key, o_orderpriority as priority from orders)"""),
+    "decisions": ((), """decisions as (select user_id as revision_id, event_id, ['APPROVED','REJECTED','NEEDS_CORRECTION','REQUIRES_PHYSICAL_INSPECTION'][event_id % 4 + 1] as action, ts as decided_at
+  from events where event_type = 'purchase')"""),
+    "image_detections": (("detections",), """image_detections as (select doc_id, image_id, pos, case when image_id = 1 then case pos % 3 when 0 then upper(text) || ' ' when 1 then text || ' x' else text end else text end as text, confidence
+  from detections, (values (0), (1)) i(image_id))"""),
     "words": (("label_lines",), """words as (select doc_id, 1 as block, n // 4 as par, n as line, word, text,
   case when (doc_id + word) % 11 = 0 then -1.0 else 50 + (doc_id + n * 3 + word * 7) % 60 end::double as conf, 40 + word * 60 as left_, 30 * n as top,
   8 * length(text) as width, 22 as height from (select doc_id, n, unnest(string_split(text, ' ')) as text,
