@@ -176,6 +176,47 @@ def image_detections(t) -> DataFrame:
     return both.select("doc_id", "image_id", "pos", F.when(F.col("image_id") == 1, second).otherwise(F.col("text")).alias("text"), "confidence")
 
 
+# Facts of a label: namespace, key, when the fact is present, when it is known, kind of value, value.
+FACTS = [
+    ("package", "package_type", "k % 17 <> 0", "true", "v_str", "case when k % 10 = 0 then 'wholesale' else 'retail' end"),
+    ("package", "net_quantity_value", "true", "k % 6 <> 5", "v_num", "cast(sz as double)"),
+    ("package", "net_quantity_unit", "true", "true", "v_str", "case k % 3 when 0 then 'g' when 1 then 'ml' else 'kg' end"),
+    ("package", "net_quantity_basis", "true", "k % 19 <> 0", "v_str", "case k % 3 when 1 then 'volume' else 'mass' end"),
+    ("package", "commodity", "k % 23 <> 0", "true", "v_str", "case when k % 9 <> 0 then nm end"),
+    ("package", "is_export", "k % 4 = 0", "true", "v_bool", "k % 8 = 0"),
+    ("label", "mrp_text", "k % 7 <> 0", "true", "v_str", "concat('MRP Rs. ', cast(pr as string), case when k % 5 = 0 then '' else ' (Inclusive of all taxes)' end)"),
+    ("label", "mrp_value", "k % 7 <> 0", "true", "v_num", "cast(pr as double)"),
+    ("label", "mrp_inclusive_of_taxes_wording", "k % 7 <> 0", "true", "v_bool", "k % 5 <> 0"),
+    ("label", "country_of_origin", "k % 11 <> 0", "true", "v_str", "cn"),
+    ("label", "claims", "k % 3 <> 0", "true", "v_arr", "ARR(nm, category)"),
+    ("sale", "price", "k % 2 = 0", "true", "v_num", "cast(pr + (k % 40) * 60 - 500 as double)"),
+    ("entity", "role", "k % 13 <> 0", "true", "v_str", "case k % 3 when 0 then 'manufacturer' when 1 then 'packer' else 'importer' end"),
+]
+
+
+def facts(t) -> DataFrame:
+    """Long facts; absent, unknown and known-null facts all occur."""
+    def part(kind: str, name: str, sql_type: str, value: str, known: str) -> Column:
+        expr = value.replace("ARR(", "array(") if kind == name else "null"
+        return F.expr(f"case when {known} then cast({expr} as {sql_type}) end").alias(name)
+    rows = [F.when(F.expr(present), F.struct(
+        F.lit(ns).alias("namespace"), F.lit(key).alias("key"), F.expr(known).alias("known"),
+        part(kind, "v_num", "double", value, known), part(kind, "v_str", "string", value, known),
+        part(kind, "v_bool", "boolean", value, known), part(kind, "v_arr", "array<string>", value, known),
+        F.expr("array(concat('region_', cast(k % 5 as string)))" if kind != "v_bool" else "cast(array() as array<string>)").alias("evidence_ids")))
+        for ns, key, present, known, kind, value in FACTS]
+    return emit(_label_base(t).withColumn("doc_id", F.col("k")), F.array_compact(F.array(*rows)))
+
+
+def _duck_facts() -> str:
+    """One row per document; ``k_<key>`` says the fact is known, ``v_<key>`` is its value."""
+    columns = []
+    for _ns, key, present, known, _kind, value in FACTS:
+        value = value.replace("ARR(nm, category)", "[nm, category]")
+        columns.append(f"({present}) and ({known}) as k_{key}, case when ({present}) and ({known}) then {value} end as v_{key}")
+    return "wide_facts as (select k as doc_id, " + ",\n  ".join(columns) + " from label_base)"
+
+
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "label_base": ((), """label_base as (select p.p_partkey k, p.p_name nm, p.p_size sz, p.p_brand brand, p.p_type category,
   cast(p.p_retailprice as decimal(12,2)) pr, s.s_name sn, n.n_name cn from part p
@@ -185,6 +226,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "detections": (("label_lines",), """detections as (select doc_id, n as pos, text,
   (60 + (doc_id * 7 + n * 13) % 40) / 100.0::double as confidence, 40 as x1, 30 * n as y1,
   40 + 8 * length(text) as x2, 30 * n + 22 as y2 from label_lines)"""),
+    "wide_facts": (("label_base",), _duck_facts()),
     "text_lines": ((), r"""text_lines as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 as n, text from (
   select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) as text,
    generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(text) > 0)"""),
