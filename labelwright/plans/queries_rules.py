@@ -192,7 +192,7 @@ def _(t):
     return out.select("doc_id", "rule_id", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-@query("r18_trace_evidence", """select doc_id, 'tax' as rule_id, 'tax.check.all[0]' as path, 'region_' || doc_id % 5 as region_id, case when doc_id % 3 <> 0 and doc_id % 14 <> 1 then 0.95::double end as extraction_confidence
+@query("r18_trace_evidence", """select doc_id, 'tax' as rule_id, 'tax.check.all[0]' as path, 'region_' || doc_id % 5 as region_id, case when doc_id % 3 = 0 then case when doc_id % 14 = 1 then 0.6::double end when doc_id % 14 <> 1 then 0.95::double end as extraction_confidence
  from wide_facts where k_mrp_text""", WIDE)
 def _(t):
     price = t.view("facts").where("key = 'mrp_text'")

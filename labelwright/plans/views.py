@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions import patterns as P
+from labelwright.functions.identifiers import check_digit
 from labelwright.operators.lines import emit, explode_lines, match_keywords, with_lines
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -176,6 +177,41 @@ def image_detections(t) -> DataFrame:
     return both.select("doc_id", "image_id", "pos", F.when(F.col("image_id") == 1, second).otherwise(F.col("text")).alias("text"), "confidence")
 
 
+def physical_fields(t) -> DataFrame:
+    """Label values as confirmed on the package; some are missing."""
+    rows = [("net_quantity", "concat('Net Quantity: ', cast(sz as string), case k % 3 when 0 then ' g' when 1 then ' ml' else ' kg' end)", "k % 19 <> 0"),
+            ("country_of_origin", "concat('Country of Origin: ', cn)", "k % 19 <> 1"),
+            ("manufacturer_packer_importer_details", "concat('Manufactured by: ', sn, ', ', cn)", "k % 19 <> 2"),
+            ("maximum_retail_price_mrp", "cast(pr as string)", "k % 19 <> 3")]
+    structs = [F.when(F.expr(cond), F.struct(F.lit(f).alias("field"), F.expr(v).alias("value"))) for f, v, cond in rows]
+    return emit(_label_base(t).withColumn("doc_id", F.col("k")), F.array_compact(F.array(*structs)))
+
+
+LISTING = {
+    "retrieval_status": "case when k % 23 = 0 then 'HTTP_ERROR' else 'SUCCESS' end",
+    "net_quantity": "case when k % 17 = 0 then null when k % 3 = 2 then concat(cast(sz * 1000 as string), ' g') when k % 14 = 1 then 'a lot' when k % 15 = 3 then concat(cast(sz as string), ' ml') else concat(cast(sz as string), case k % 3 when 0 then ' g' else ' ml' end) end",
+    "country_of_origin": "case when k % 17 = 1 then null when k % 8 = 0 then 'Made in Elsewhere' else concat('Made in  ', upper(cn), '.') end",
+    "manufacturer": "case when k % 7 = 0 then null when k % 9 = 0 then 'Somebody Else' else upper(sn) end",
+    "packer_importer": "case when k % 2 = 0 then sn end",
+    "mrp": "case when k % 17 = 3 then null when k % 12 = 0 then 'on request' else concat('Rs. ', cast(cast(pr + case when k % 13 = 0 then 1 else 0 end as decimal(12,2)) as string)) end",
+}
+
+
+def listing(t) -> DataFrame:
+    return _label_base(t).select(F.col("k").alias("doc_id"), *[F.expr(e).alias(c) for c, e in LISTING.items()])
+
+
+def barcodes(t) -> DataFrame:
+    k = F.col("p_partkey")
+    body = F.lpad((k * 7919).cast("string"), 12, "0")
+    check = check_digit(body)
+    raw = (F.when(k % 9 == 1, F.concat(F.lit("AB"), k.cast("string"))).when(k % 25 == 4, "0425-2614")
+           .when(k % 6 == 0, F.concat(body, ((check.cast("int") + 1) % 10).cast("string"))).otherwise(F.concat(body, check)))
+    names = F.array(F.lit("EAN_13"), F.lit(None), F.lit("ean 13"), F.lit("QR"))
+    symbology = F.when(k % 25 == 4, "UPC-E").otherwise(F.get(names, (k % 4).cast("int")))
+    return t.part.select(k.alias("doc_id"), raw.alias("raw_value"), symbology.alias("symbology"), "p_name", "p_brand", "p_size")
+
+
 # Facts of a label: namespace, key, when the fact is present, when it is known, kind of value, value.
 FACTS = [
     ("package", "package_type", "k % 17 <> 0", "true", "v_str", "case when k % 10 = 0 then 'wholesale' else 'retail' end"),
@@ -227,6 +263,13 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   (60 + (doc_id * 7 + n * 13) % 40) / 100.0::double as confidence, 40 as x1, 30 * n as y1,
   40 + 8 * length(text) as x2, 30 * n + 22 as y2 from label_lines)"""),
     "wide_facts": (("label_base",), _duck_facts()),
+    "listing": (("label_base",), "listing as (select k as doc_id, " + ", ".join(f"{e} as {c}" for c, e in LISTING.items()) + " from label_base)"),
+    "physical": (("label_base",), """physical as (select k as doc_id, 'net_quantity' as field, 'Net Quantity: ' || sz || case k % 3 when 0 then ' g' when 1 then ' ml' else ' kg' end as value from label_base where k % 19 <> 0
+  union all select k, 'country_of_origin', 'Country of Origin: ' || cn from label_base where k % 19 <> 1 union all select k, 'manufacturer_packer_importer_details', 'Manufactured by: ' || sn || ', ' || cn from label_base where k % 19 <> 2
+  union all select k, 'maximum_retail_price_mrp', cast(pr as varchar) from label_base where k % 19 <> 3)"""),
+    "barcodes": ((), """barcodes as (select p_partkey as doc_id, case when p_partkey % 9 = 1 then 'AB' || p_partkey when p_partkey % 25 = 4 then '0425-2614' when p_partkey % 6 = 0 then body || (ck + 1) % 10 else body || ck end as raw_value,
+  case when p_partkey % 25 = 4 then 'UPC-E' else ['EAN_13', null, 'ean 13', 'QR'][p_partkey % 4 + 1] end as symbology, p_name, p_brand, p_size from
+  (select *, (10 - list_sum(list_transform(range(0, 12), lambda i: substr(body, (12 - i)::int, 1)::int * case when i % 2 = 0 then 3 else 1 end))::int % 10) % 10 as ck from (select *, lpad((p_partkey * 7919)::varchar, 12, '0') as body from part)))"""),
     "text_lines": ((), r"""text_lines as (select doc_id, row_number() over (partition by doc_id order by ord) - 1 as n, text from (
   select doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) as text,
    generate_subscripts(string_split(text, chr(10)), 1) as ord from documents) where length(text) > 0)"""),

@@ -51,8 +51,8 @@ def compare(spark, con, name, query, sql, path):
     if sorted(df.columns) != sorted(cols):
         return f"columns {sorted(df.columns)} != {sorted(cols)}", len(got)
     if got != want:
-        only_got = [r for r in got if r not in set(want)][:3]
-        only_want = [r for r in want if r not in set(got)][:3]
+        a, b = set(got), set(want)
+        only_got, only_want = sorted(a - b)[:3], sorted(b - a)[:3]
         return f"rows {len(got)} vs {len(want)}; spark only {only_got}; sql only {only_want}", len(got)
     return None, len(got)
 
