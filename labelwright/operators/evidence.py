@@ -19,9 +19,9 @@ NAME_FACTOR = 0.75
 
 def tokened(detections: Column) -> Column:
     """Detections with their token sequence, computed once per box."""
-    return F.transform(detections, lambda d: F.struct(
-        d["pos"].alias("pos"), d["text"].alias("text"), d["confidence"].alias("confidence"),
-        padded_tokens(d["text"]).alias("tok")))
+    return F.transform(detections, lambda d: let(padded_tokens(d["text"]), lambda tok: F.struct(
+        d["pos"].alias("pos"), d["text"].alias("text"), d["confidence"].alias("confidence"), tok.alias("tok"),
+        (F.locate(" ", tok, 2) == F.length(tok)).alias("single"))))
 
 
 def supporting(boxes: Column, text: Column) -> Column:
@@ -33,9 +33,8 @@ def supporting(boxes: Column, text: Column) -> Column:
 
     def match(needle: Column) -> Column:
         def supports(d: Column) -> Column:
-            single = ~F.substring(d["tok"], 2, 512).rlike(" .")
-            usable = (d["tok"] == needle) | ~single | d["tok"].isin(*alone)
-            return (F.length(d["tok"]) > 2) & usable & (d["tok"].contains(needle) | needle.contains(d["tok"]))
+            usable = (d["tok"] == needle) | ~d["single"] | d["tok"].isin(*alone)
+            return (d["tok"].contains(needle) | needle.contains(d["tok"])) & (F.length(d["tok"]) > 2) & usable
         return F.when(F.length(needle) > 2, F.filter(boxes, supports)).otherwise(F.slice(boxes, F.lit(1), F.lit(0)))
 
     return let(padded_tokens(F.coalesce(text, F.lit(""))), match)
@@ -119,15 +118,19 @@ def _care_parts() -> Column:
             contact_lines = F.filter(near, lambda s: F.coalesce(s.contains(v["c"]["telephone_number"]), F.lit(False))
                                      | F.coalesce(s.contains(v["c"]["email_address"]), F.lit(False))
                                      | has(s, P.CARE_ADDRESS_REFERENCE))
-            own = L.care_address(v["block"], v["name"])
-            refers = F.exists(near, lambda s: has(s, P.CARE_ADDRESS_REFERENCE))
             maker = first_where(F.col("roles"), lambda r: r["role"] == "manufacturer")["value"]
-            address = F.coalesce(own, F.when(refers, strip(F.regexp_replace(maker, P.java(P.MANUFACTURER_LEAD_IN), ""))))
-            cited = F.when(own.isNull() & refers, maker)
-            return F.struct(v["name"].alias("name"), address.alias("address"),
-                            v["c"]["telephone_number"].alias("telephone_number"),
-                            v["c"]["email_address"].alias("email_address"),
-                            F.concat_ws("\n", lead, line, v["block"], F.array_join(contact_lines, "\n"), cited).alias("evidence"))
+
+            def finish(own: Column, cited: Column) -> Column:
+                return F.struct(
+                    v["name"].alias("name"), F.coalesce(own, strip(F.regexp_replace(cited, P.java(P.MANUFACTURER_LEAD_IN), ""))).alias("address"),
+                    v["c"]["telephone_number"].alias("telephone_number"), v["c"]["email_address"].alias("email_address"),
+                    F.concat_ws("\n", lead, line, v["block"], F.array_join(contact_lines, "\n"), cited).alias("evidence"))
+
+            def with_reference(own: Column) -> Column:
+                refers = F.when(own.isNull(), F.exists(near, lambda s: has(s, P.CARE_ADDRESS_REFERENCE)))
+                return let(F.when(refers, maker), lambda cited: finish(own, cited))
+
+            return let(L.care_address(v["block"], v["name"]), with_reference)
 
         return let(F.struct(found.alias("c"), name.alias("name"), block.alias("block")), assemble)
 

@@ -317,11 +317,14 @@ def is_heading_only(value: Column) -> Column:
 
 def role_array(docs: DataFrame, use_layout: bool = False) -> DataFrame:
     """Adds ``roles``: one struct per declared role, in text order. A line serves one role only."""
-    staged = docs.withColumn("_claimed", F.expr("cast(array() as array<int>)"))
+    # Every heading holds a linking word, which is cheap to look for; other lines become NULL and never match.
+    linked = F.transform(line_col(), lambda s: let(F.lower(s), lambda w: F.when(
+        w.contains("by") | w.contains("8y") | w.contains("for"), s)))
+    staged = docs.withColumn("_claimed", F.expr("cast(array() as array<int>)")).withColumn("_linked", linked)
     for role, pattern in P.ROLE_HEADINGS.items():
         def matches(s: Column, i: Column, heading: str = pattern) -> Column:
             return F.when(has(s, heading) & ~F.array_contains(F.col("_claimed"), i), i)
-        hits = F.array_compact(F.transform(line_col(), lambda s, i: matches(s, i)))
+        hits = F.array_compact(F.transform(F.col("_linked"), lambda s, i: matches(s, i)))
         staged = staged.withColumn(f"_{role}", F.get(hits, F.lit(0)))
         staged = staged.withColumn("_claimed", F.when(F.col(f"_{role}").isNotNull(), F.concat(
             F.col("_claimed"), F.array(F.col(f"_{role}")))).otherwise(F.col("_claimed")))

@@ -10,6 +10,7 @@ from labelwright.functions.sizing import broadcast_if_small
 from labelwright.functions.text import tokens
 
 BM25_K1, BM25_B = 1.5, 0.75
+MAX_TERMS = 100_000  # query terms that may be broadcast
 
 
 def top_k(scored: DataFrame, query: str, k: int, item: str) -> DataFrame:
@@ -28,10 +29,12 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, query: str = "que
     """
     q_terms = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = q_terms.select("term").distinct()
-    lengths = passages.select(item, tokens(F.col("text")).alias("_t"))
-    stats = lengths.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))  # one row
-    tf = (lengths.select(item, F.size("_t").alias("_len"), F.explode("_t").alias("term"))
-          .join(broadcast_if_small(wanted), "term", "left_semi").groupBy(item, "_len", "term").agg(F.count("*").alias("_tf")))
+    few = wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    small = F.broadcast if few else lambda df: df  # one row per query term
+    tokened = passages.select(item, tokens(F.col("text")).alias("_t"))
+    exploded = tokened.select(item, F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
+    stats = tokened.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))  # one row
+    tf = exploded.join(small(wanted), "term", "left_semi").groupBy(item, "_len", "term").agg(F.count("*").alias("_tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("_df"))
     weights = df.crossJoin(F.broadcast(stats))
     if max_share is not None:
@@ -39,7 +42,7 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, query: str = "que
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = weights.select("term", idf.alias("_idf"), "_avg")
     norm = F.col("_tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("_avg"))
-    postings = tf.join(broadcast_if_small(weights), "term").select("term", item, (F.col("_idf") * F.col("_tf") * (BM25_K1 + 1) / norm).alias("_s"))
+    postings = tf.join(small(weights), "term").select("term", item, (F.col("_idf") * F.col("_tf") * (BM25_K1 + 1) / norm).alias("_s"))
     scored = q_terms.join(postings, "term").groupBy(query, item).agg(F.round(F.sum("_s"), 6).alias("score"))
     return top_k(scored, query, k, item)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from labelwright.functions.sizing import spread
 from labelwright.operators import listing as L
 from labelwright.operators import metrics as X
 from labelwright.operators import retrieval as R
@@ -23,7 +24,7 @@ _PAGES_SQL = f"pg as (select page_id, {PAGE_EXPR.replace('cast(', 'cast(')} as h
 
 
 def product_pages(t):
-    return t.pages.withColumn("k", F.col("page_id")).select("page_id", F.expr(PAGE_EXPR).alias("html"))
+    return spread(t.pages).withColumn("k", F.col("page_id")).select("page_id", F.expr(PAGE_EXPR).alias("html"))
 
 
 def parts(t):
@@ -125,7 +126,7 @@ def _queries(t):
 
 
 def _bm25(t):
-    return R.bm25(_queries(t), t.documents.select(F.col("doc_id").alias("passage_id"), "text"))
+    return R.bm25(_queries(t), spread(t.documents).select(F.col("doc_id").alias("passage_id"), "text"))
 
 
 @query("k1_bm25", f"with {_QS}, {_BM25_SQL} select query_id, passage_id, round(score, 4) as score, rank from rk")

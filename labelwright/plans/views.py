@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelwright.functions import patterns as P
 from labelwright.functions.identifiers import check_digit
+from labelwright.functions.sizing import spread
 from labelwright.operators.lines import emit, explode_lines, match_keywords, with_lines
 
 TABLE_NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -66,7 +67,8 @@ def _label_base(t) -> DataFrame:
     supplier = t.supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "n_name")
     suppliers = supplier.groupBy().agg(F.count("*").alias("n_suppliers"))
     part = t.part.crossJoin(F.broadcast(suppliers))  # one row: the supplier count
-    return part.join(supplier, F.col("s_suppkey") == F.col("p_partkey") % F.col("n_suppliers")).select(
+    joined = part.join(supplier, F.col("s_suppkey") == F.col("p_partkey") % F.col("n_suppliers"))
+    return spread(joined, t.part).select(
         F.col("p_partkey").alias("k"), F.col("p_name").alias("nm"), F.col("p_size").alias("sz"),
         F.col("p_brand").alias("brand"), F.col("p_type").alias("category"),
         F.col("p_retailprice").cast("decimal(12,2)").alias("pr"),
@@ -95,7 +97,7 @@ def detections(t) -> DataFrame:
 
 
 def text_docs(t) -> DataFrame:
-    return with_lines(t.documents).select("doc_id", "source", "lang", "text", "lines")
+    return with_lines(spread(t.documents)).select("doc_id", "source", "lang", "text", "lines")
 
 
 def _alias_values(table: dict[str, list[str]], form) -> str:
