@@ -144,6 +144,11 @@ def _care_parts() -> Column:
 
 def extract_fields(docs: DataFrame, *keep: str) -> DataFrame:
     """The field table: one row per document and declared field, with evidence. A projection, no shuffle."""
+    return L.emit(with_fields(docs), F.col("fields"), "doc_id", *keep)
+
+
+def with_fields(docs: DataFrame) -> DataFrame:
+    """Adds ``fields``: the declared fields of a document as an array in its row."""
     lines = L.line_col()
     staged = L.role_array(docs, use_layout=True)
     staged = (staged.withColumn("_boxes", tokened(L.box_col())).withColumn("_page", L.mean_confidence(L.box_col()))
@@ -190,8 +195,8 @@ def extract_fields(docs: DataFrame, *keep: str) -> DataFrame:
             e["region_ids"].alias("region_ids"), e["raw_text"].alias("raw_text"),
             care("name"), care("address"), care("telephone_number"), care("email_address")))
 
-    staged = staged.withColumn("_texts", texts)
-    return L.emit(staged, F.transform("_texts", resolve), "doc_id", *keep)
+    staged = staged.withColumn("_texts", texts).withColumn("fields", F.transform("_texts", resolve))
+    return staged.select(*docs.columns, "fields")
 
 
 # ---- overlays -----------------------------------------------------------------------------------

@@ -74,11 +74,14 @@ def clean_detections(df: DataFrame, cap: int = 500, text_chars: int = 512) -> Da
             .withColumn("text", F.substring(strip(F.coalesce("text", F.lit(""))), 1, text_chars)))
 
 
-def reports_or_scan(scans: DataFrame, reports: str = "reports", override: tuple[str, ...] = ("status", "score")) -> DataFrame:
-    """One row per report, else the scan itself; report columns override scan columns."""
-    return (scans.withColumn("_r", F.explode_outer(reports))
-            .select("scan_id", F.col("_r.report_id").alias("report_id"),
-                    *[F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) for c in override]))
+def reports_or_scan(scans: DataFrame, reports: DataFrame, override: tuple[str, ...] = ("status", "score")) -> DataFrame:
+    """One row per report, else the scan itself; report columns override scan columns.
+
+    Reports are a table of their own, so a scan with very many reports is joined and never gathered.
+    """
+    r = reports.select(F.col("scan_id").alias("_s"), "report_id", *[F.col(c).alias(f"_{c}") for c in override])
+    return (scans.join(r, F.col("scan_id") == F.col("_s"), "left")
+            .select("scan_id", "report_id", *[F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) for c in override]))
 
 
 def quality_gate(df: DataFrame, minimum: float = 0.80, confidence: str = "confidence") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions import measures as M
 from labelwright.functions import patterns as P
-from labelwright.functions.text import has, strip
+from labelwright.functions.text import first_where, has, let, strip
 from labelwright.operators.lines import emit, is_heading_only
 
 # Which statuses confirm, refute or leave open.
@@ -48,7 +50,7 @@ def status_counts(rules: DataFrame, key: list[str]) -> DataFrame:
 
 def field_checks(fields: DataFrame, reference_year: int, reference_month: int, profile: list[str] | None = None,
                  threshold: float = P.FIELD_CONFIDENCE) -> DataFrame:
-    """Status of every required field of a document.
+    """Status of every required field from the long field table.
 
     The unit price also looks at the net quantity, so fields are brought together per document with one
     aggregate of at most one struct per field name, and checked in one projection.
@@ -57,6 +59,18 @@ def field_checks(fields: DataFrame, reference_year: int, reference_month: int, p
     row = F.struct("value", "detected", "confidence", "care_name", "care_address", "care_telephone_number", "care_email_address")
     wide = fields.groupBy("doc_id").agg(*[F.first(F.when(F.col("field") == f, row), ignorenulls=True).alias(f)
                                           for f in dict.fromkeys([*required, "net_quantity"])])
+    return emit(wide, check_array(F.col, required, reference_year, reference_month, threshold))
+
+
+def check_documents(docs: DataFrame, reference_year: int, reference_month: int, profile: list[str] | None = None,
+                    threshold: float = P.FIELD_CONFIDENCE) -> DataFrame:
+    """Adds ``checks`` to documents that carry their ``fields`` in an array: the same checks without any shuffle."""
+    held = lambda name: first_where(F.col("fields"), lambda f: f["field"] == name)
+    return docs.withColumn("checks", check_array(held, profile or P.RETAIL_FIELDS, reference_year, reference_month, threshold))
+
+
+def check_array(field: Callable[[str], Column], required: list[str], reference_year: int, reference_month: int, threshold: float) -> Column:
+    """(field, status) structs of the required fields; ``field`` gives the struct of a field by name."""
     review = F.lit("NEEDS_MANUAL_VERIFICATION")
 
     def seen(f: Column) -> Column:
@@ -65,33 +79,28 @@ def field_checks(fields: DataFrame, reference_year: int, reference_month: int, p
     def sure(f: Column) -> Column:
         return seen(f) & (f["confidence"] >= threshold)
 
-    def present(f: Column) -> Column:
-        return F.when(sure(f), "PASS").otherwise(review)
-
     def price(f: Column) -> Column:
         v = f["value"]
         good = (F.size(M.amounts(v)) == 1) & has(v, P.PRICE_LABEL) & has(v, P.TAX_WORDING)
         return F.when(sure(f) & F.coalesce(good, F.lit(False)), "PASS").otherwise(review)
 
-    def unit_price(f: Column, quantity: Column) -> Column:
+    def unit_price(f: Column) -> Column:
         amount = M.unit_price_amount(f["value"])
-        exempt = seen(quantity) & (F.abs(M.quantity_amount(quantity["value"]) - UNIT_PRICE_EQUALS_PRICE) < 0.01)
+        exempt = let(field("net_quantity"), lambda q: seen(q) & (F.abs(M.quantity_amount(q["value"]) - UNIT_PRICE_EQUALS_PRICE) < 0.01))
         return (F.when(seen(f), F.when(amount.isNotNull() & (f["confidence"] >= threshold), "PASS").otherwise(review))
                 .when(F.coalesce(exempt, F.lit(False)), "PASS").otherwise(review))
 
     def care(f: Column) -> Column:
-        parts = [f[c] for c in ("care_name", "care_address", "care_telephone_number", "care_email_address")]
         complete = F.lit(True)
-        for p in parts:
-            complete = complete & (F.length(F.coalesce(p, F.lit(""))) > 0)
+        for part in ("care_name", "care_address", "care_telephone_number", "care_email_address"):
+            complete = complete & (F.length(F.coalesce(f[part], F.lit(""))) > 0)
         return F.when(~seen(f), review).when(complete, "PASS").otherwise("PARTIAL")
 
-    def check(name: str) -> Column:
-        f = F.col(name)
+    def check(name: str, f: Column) -> Column:
         if name == "maximum_retail_price_mrp":
             return price(f)
         if name == "unit_sale_price":
-            return unit_price(f, F.col("net_quantity"))
+            return unit_price(f)
         if name == "net_quantity":
             return F.when(sure(f) & M.quantity_amount(f["value"]).isNotNull(), "PASS").otherwise(review)
         if name in ("manufacturer_packer_importer_details", "name_and_address_of_manufacturer_or_packer"):
@@ -101,10 +110,23 @@ def field_checks(fields: DataFrame, reference_year: int, reference_month: int, p
         if name == "month_and_year_of_manufacture_or_packing":
             future = F.coalesce(M.year_month(f["value"]) > reference_year * 100 + reference_month, F.lit(False))
             return F.when(sure(f) & ~future, "PASS").otherwise(review)
-        return present(f)
+        return F.when(sure(f), "PASS").otherwise(review)
+
+    def named(n: str) -> Column:
+        return let(field(n), lambda f: F.struct(F.lit(n).alias("field"), check(n, f).alias("status")))
 
-    rows = F.array(*[F.struct(F.lit(n).alias("field"), check(n).alias("status")) for n in required])
-    return emit(wide, rows)
+    return F.array(*[named(n) for n in required])
+
+
+def rollup_in_row(docs: DataFrame, checks: str = "checks") -> DataFrame:
+    """``rollup_checks`` for documents that carry their checks in an array: a projection."""
+    count = lambda names: F.size(F.filter(checks, lambda c: c["status"].isin(*names))).cast("bigint")
+    staged = (docs.withColumn("compliant", count(CONFIRMED)).withColumn("non_compliant", count(REFUTED)).withColumn("low_confidence", count(OPEN)))
+    applicable = F.exists(checks, lambda c: c["status"] != "NOT_APPLICABLE")
+    status = (F.when(~applicable, "NOT_APPLICABLE").when(F.col("non_compliant") > 0, "NON_COMPLIANT")
+              .when(F.col("low_confidence") > 0, "REVIEW_REQUIRED").otherwise("COMPLIANT"))
+    score = F.round(F.try_divide(F.col("compliant") * 100, F.col("compliant") + F.col("non_compliant")), 2)
+    return staged.withColumn("status", status).withColumn("score", score)
 
 
 def summary(checks: DataFrame) -> DataFrame:

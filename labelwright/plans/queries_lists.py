@@ -11,15 +11,15 @@ from labelwright.plans.registry import query
 REV = ("revisions",)
 
 
-@query("p1_public_view", """select r.revision_id::varchar as revision_id, product_id, review_status, score, case when image_key is not null then '/revisions/' || r.revision_id || '/image' end as image_url,
- coalesce(ids, '') as official_ids from revisions r left join (select revision_id, string_agg(event_id::varchar, ',' order by event_id) ids from decisions group by 1) d on d.revision_id = r.revision_id""",
-       ("revisions", "decisions"))
+@query("p1_public_view", """select revision_id::varchar as revision_id, product_id, review_status, score, case when image_key is not null then '/revisions/' || revision_id || '/image' end as image_url,
+ case when revision_id % 3 = 0 then revision_id * 2 || ',' || (revision_id * 2 + 1) else '' end as official_ids from revisions""", REV)
 def _(t):
-    history = t.view("decisions").groupBy("revision_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("event_id").alias("official_id"), "action"))).alias("history"))
-    rows = t.view("revisions").join(history, "revision_id", "left")
+    k = F.col("revision_id")
+    entry = lambda c, action: F.struct(c.alias("official_id"), F.lit(action).alias("action"))
+    both = F.array(entry(k * 2, "REJECTED"), entry(k * 2 + 1, "APPROVED"))
+    rows = t.view("revisions").withColumn("history", F.when(k % 3 == 0, both).otherwise(F.slice(both, 1, 0)))
     out = P.public_view(rows, ["manufacturer_id", "priority", "created_at", "image_key"], ["revision_id"], "image_key", decisions="history")
-    return out.withColumn("official_ids", F.coalesce(F.array_join(F.transform("history", lambda d: d["official_id"]), ","), F.lit(""))).drop("history")
+    return out.withColumn("official_ids", F.array_join(F.transform("history", lambda d: d["official_id"]), ",")).drop("history")
 
 
 @query("p2_owned_by", "select revision_id, product_id from revisions where product_id = 42", REV)
@@ -67,11 +67,10 @@ def _(t):
 @query("p8_reports_or_scan", """select o.o_orderkey as scan_id, l.l_linenumber as report_id, coalesce(l.l_returnflag, o.o_orderstatus) as status, coalesce(l.l_quantity, o.o_totalprice) as score
  from orders o left join lineitem l on l.l_orderkey = o.o_orderkey""")
 def _(t):
-    reports = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct(
-        F.col("l_linenumber").alias("report_id"), F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("score"))).alias("reports"))
-    scans = t.orders.join(reports, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
-        F.col("o_orderkey").alias("scan_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"), "reports")
-    return P.reports_or_scan(scans)
+    reports = t.lineitem.select(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("report_id"),
+                                F.col("l_returnflag").alias("status"), F.col("l_quantity").alias("score"))
+    scans = t.orders.select(F.col("o_orderkey").alias("scan_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("score"))
+    return P.reports_or_scan(scans, reports)
 
 
 @query("p9_quality_gate", "select gate, count(*) as n from (select case when pos % 5 = 0 then 'missing' when confidence < 0.8 then 'low_confidence' else 'ok' end as gate from detections) group by 1", ("detections",))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from labelwright.functions import measures as M
 from labelwright.functions import patterns as P
 from labelwright.operators import evidence as E
+from labelwright.operators.lines import emit
 from labelwright.operators import metrics as X
 from labelwright.operators import quality as Q
 from labelwright.operators import rollup as A
@@ -76,8 +77,18 @@ FLAGSHIP_SQL = f"""{_PRICE_SQL}, {_CONTEXT_SQL},
 FLAGSHIP_FIELDS = ["maximum_retail_price_mrp", "net_quantity", "unit_sale_price"]
 
 
+def checked_labels(t, profile):
+    """Labels with their fields and checks in the row; nothing is shuffled up to here."""
+    return A.check_documents(E.with_fields(t.label_docs), 2026, 6, profile)
+
+
 def flagship_checks(t, profile):
-    return A.field_checks(E.extract_fields(t.label_docs, "brand"), 2026, 6, profile)
+    return emit(checked_labels(t, profile), F.col("checks"))
+
+
+@query("a4_checks_from_field_table", f"with {FLAGSHIP_SQL} select doc_id, field, status from st", ("keywords", "detections"))
+def _(t):
+    return A.field_checks(E.extract_fields(t.label_docs), 2026, 6, FLAGSHIP_FIELDS)
 
 
 @query("a4_field_checks", f"with {FLAGSHIP_SQL} select doc_id, field, status from st", ("keywords", "detections"))
@@ -98,9 +109,8 @@ def _(t):
 @query("label_compliance_by_brand", f"""with {FLAGSHIP_SQL}, ru as ({rollup_sql('st', 'doc_id')})
  select p_brand as brand, status, count(*) as labels, sum(compliant)::bigint as passed_checks, round(avg(score), 4) as mean_score from ru join part on p_partkey = doc_id group by 1, 2""", ("keywords", "detections"))
 def _(t):
-    status = A.rollup_checks(flagship_checks(t, FLAGSHIP_FIELDS), ["doc_id"])
-    brands = t.part.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("brand"))
-    return status.join(brands, "doc_id").groupBy("brand", "status").agg(
+    status = A.rollup_in_row(checked_labels(t, FLAGSHIP_FIELDS))
+    return status.groupBy("brand", "status").agg(
         F.count("*").alias("labels"), F.sum("compliant").alias("passed_checks"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
