@@ -147,13 +147,25 @@ def extract_fields(docs: DataFrame, *keep: str) -> DataFrame:
     return L.emit(with_fields(docs), F.col("fields"), "doc_id", *keep)
 
 
-def with_fields(docs: DataFrame) -> DataFrame:
-    """Adds ``fields``: the declared fields of a document as an array in its row."""
+ENTITY_FIELDS = ("manufacturer_packer_importer_details", "name_and_address_of_manufacturer_or_packer")
+NAME_FIELDS = ("common_generic_name_of_commodity", "identity_of_commodity")
+CARE_FIELD = "consumer_care_details"
+
+
+def with_fields(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Adds ``fields``: the declared fields of a document as an array in its row.
+
+    ``only`` names the fields that are wanted; what the others need is not computed.
+    """
     lines = L.line_col()
-    staged = L.role_array(docs, use_layout=True)
-    staged = (staged.withColumn("_boxes", tokened(L.box_col())).withColumn("_page", L.mean_confidence(L.box_col()))
-              .withColumn("_care", _care_parts())
-              .withColumn("_items", L.component_array(lines, L.box_col())))
+    asked = lambda *names: only is None or any(n in only for n in names)
+    staged = docs.withColumn("_boxes", tokened(L.box_col())).withColumn("_page", L.mean_confidence(L.box_col()))
+    if asked(*ENTITY_FIELDS, CARE_FIELD):
+        staged = L.role_array(staged, use_layout=True)
+    if asked(CARE_FIELD):
+        staged = staged.withColumn("_care", _care_parts())
+    if asked(*NAME_FIELDS):
+        staged = staged.withColumn("_items", L.component_array(lines, L.box_col()))
     items = F.array_join(F.transform("_items", lambda c: F.concat_ws(" ", c["name"], c["quantity"])), "; ")
     descriptive = F.coalesce(F.nullif(items, F.lit("")), F.get(lines, L.identity_index(lines)))
     entity = F.when(F.size("roles") > 0, F.array_join(F.transform("roles", lambda r: r["value"]), " | "))
@@ -169,26 +181,32 @@ def with_fields(docs: DataFrame) -> DataFrame:
             F.coalesce(literal, F.col("_name")).alias("evidence"),
             F.when(literal.isNull(), NAME_FACTOR).otherwise(1.0).alias("factor")))
 
-    staged = staged.withColumn("_name", descriptive)
-    texts = F.array(
-        text_field("country_of_origin", let(L.country_text(lines), lambda c: F.coalesce(
+    if asked(*NAME_FIELDS):
+        staged = staged.withColumn("_name", descriptive)
+    build = {
+        "country_of_origin": lambda n: text_field(n, let(L.country_text(lines), lambda c: F.coalesce(
             F.when(M.country_remainder(c).isNull(), L.spatial_pair_value(L.box_col())["value"]), c))),
-        named_field("common_generic_name_of_commodity"),
-        text_field("net_quantity", _completed_quantity("net_quantity", False)),
-        text_field("month_and_year_of_manufacture_or_packing", F.get(lines, L.date_near_index(lines))),
-        text_field("maximum_retail_price_mrp", _price_value()),
-        text_field("unit_sale_price", F.get(lines, L.keyword_index("unit_sale_price"))),
-        text_field("manufacturer_packer_importer_details", entity),
-        text_field("name_and_address_of_manufacturer_or_packer", entity),
-        named_field("identity_of_commodity"),
-        text_field("total_number_of_retail_packages_or_net_quantity",
-                   _completed_quantity("total_number_of_retail_packages_or_net_quantity", True)),
-        F.struct(F.lit("consumer_care_details").alias("field"), F.col("_care")["address"].alias("value"),
-                 F.col("_care")["evidence"].alias("evidence"), F.lit(1.0).alias("factor")))
+        "common_generic_name_of_commodity": named_field,
+        "net_quantity": lambda n: text_field(n, _completed_quantity(n, False)),
+        "month_and_year_of_manufacture_or_packing": lambda n: text_field(n, F.get(lines, L.date_near_index(lines))),
+        "maximum_retail_price_mrp": lambda n: text_field(n, _price_value()),
+        "unit_sale_price": lambda n: text_field(n, F.get(lines, L.keyword_index(n))),
+        "manufacturer_packer_importer_details": lambda n: text_field(n, entity),
+        "name_and_address_of_manufacturer_or_packer": lambda n: text_field(n, entity),
+        "identity_of_commodity": named_field,
+        "total_number_of_retail_packages_or_net_quantity": lambda n: text_field(n, _completed_quantity(n, True)),
+        CARE_FIELD: lambda n: F.struct(F.lit(n).alias("field"), F.col("_care")["address"].alias("value"),
+                                       F.col("_care")["evidence"].alias("evidence"), F.lit(1.0).alias("factor")),
+    }
+    texts = F.array(*[make(name) for name, make in build.items() if asked(name)])
 
     def resolve(t: Column) -> Column:
-        is_care = t["field"] == "consumer_care_details"
-        care = lambda part: F.when(is_care, F.col("_care")[part]).otherwise(none).alias(f"care_{part}")
+        is_care = t["field"] == CARE_FIELD
+
+        def care(part: str) -> Column:
+            value = F.when(is_care, F.col("_care")[part]) if asked(CARE_FIELD) else none
+            return value.alias(f"care_{part}")
+
         return let(evidence_struct(F.col("_boxes"), t["evidence"], F.col("_page")), lambda e: F.struct(
             t["field"].alias("field"), t["value"].alias("value"), t["evidence"].isNotNull().alias("detected"),
             F.when(t["evidence"].isNotNull(), e["confidence"] * t["factor"]).otherwise(0.0).alias("confidence"),

@@ -79,7 +79,7 @@ FLAGSHIP_FIELDS = ["maximum_retail_price_mrp", "net_quantity", "unit_sale_price"
 
 def checked_labels(t, profile):
     """Labels with their fields and checks in the row; nothing is shuffled up to here."""
-    return A.check_documents(E.with_fields(t.label_docs), 2026, 6, profile)
+    return A.check_documents(E.with_fields(t.label_docs, [*profile, "net_quantity"]), 2026, 6, profile)
 
 
 def flagship_checks(t, profile):

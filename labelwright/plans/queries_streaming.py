@@ -30,7 +30,7 @@ def _events(t):
 def _(t):
     def evaluate(batch: DataFrame) -> DataFrame:
         docs = views.label_docs(SimpleNamespace(part=batch, supplier=t.supplier, nation=t.nation))
-        checked = A.check_documents(E.with_fields(docs), 2026, 6, FLAGSHIP_FIELDS)
+        checked = A.check_documents(E.with_fields(docs, FLAGSHIP_FIELDS), 2026, 6, FLAGSHIP_FIELDS)
         return A.rollup_in_row(checked).select("doc_id", "status", "compliant", "non_compliant", "low_confidence", "score")
     out = jobs.stream_evaluate(replay(t, "part"), jobs.new_folder(t.spark, "evaluate"), evaluate)
     return jobs.read_output(t.spark, out).drop("batch_id")
