@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from labelwright.llm.common import fresh, long_lists
 
-#: More transducer states or remembered pieces than these are dropped and built anew, so memory stays bounded.
-MAX_STATES = 200_000
-MAX_PIECES = 300_000
+#: More transducer states, pairs or remembered pieces than these are dropped and built anew, so memory stays bounded.
+MAX_STATES = 100_000
+MAX_PAIRS = 500_000
+MAX_PIECES = 200_000
+#: Bytes of a piece after which agreed tokens are emitted before its end is seen.
+LOOKAHEAD = 256
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -24,10 +27,10 @@ class Transducer:
     """Encodes pieces byte by byte with the ranks of a vocabulary.
 
     A path through the automaton is a run of tokens of which each two neighbours stay apart when they are merged side
-    by side; exactly one such run spells a given text, and it is its BPE encoding. A state holds every live path: the
-    place in the token trie, the token before it, and the tokens not emitted yet. What all live paths agree on is
-    emitted, so output lags by the bytes that could still change it, at most about a token or two. States are made when
-    a text first reaches them.
+    by side; exactly one such run spells a given text, and it is its BPE encoding. A state is the set of places in the
+    token trie at which a token begun at some earlier byte may stand; states and steps are made when a text first
+    reaches them. At each byte the one token that can end there is kept in a register window, so the paths of all tokens
+    still open are known; what they agree on is emitted, and the window is cut there.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -35,6 +38,7 @@ class Transducer:
         self.tokens = {i: b for b, i in ranks.items()}
         self.children: dict[int, int] = {}
         self.token_at = [-1]
+        self.depth = [0]
         self.inner = {0}
         self.halves: dict[int, tuple[int, int] | None] = {}
         for token, rank in ranks.items():
@@ -45,19 +49,21 @@ class Transducer:
                     if key not in self.children:
                         self.children[key] = len(self.token_at)
                         self.token_at.append(-1)
+                        self.depth.append(self.depth[node] + 1)
                         self.inner.add(node)
                     node = self.children[key]
                 self.token_at[node] = rank
         self.apart: dict[int, bool] = {}
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
+        self.remembered: dict[str, list[int]] = {}
         self._restart()
 
     def _restart(self) -> None:
         self.number: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.final: list[tuple[int, ...]] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._intern(((0, -1, ()),))
+        self.states: list[tuple[int, ...]] = []
+        self.ends: list[tuple[tuple[int, int], ...]] = []
+        self.steps: dict[int, int] = {}
+        self._intern((0,), ())
 
     def _reachable(self, rank: int) -> bool:
         """Whether merging the token's own bytes gives the token; notes its two halves."""
@@ -77,73 +83,89 @@ class Transducer:
 
     def _edge(self, rank: int, side: int) -> list[tuple[bytes, float, float]]:
         """Parts that touch the left (0) or right (1) end of a token, with the ranks at which each appears and goes."""
-        out, goes = [], float("inf")
+        out, goes, at = [], float("inf"), rank
         while True:
-            halves = self.halves[rank]
-            out.append((self.tokens[rank], rank if halves else -1, goes))
+            halves = self.halves[at]
+            out.append((self.tokens[at], at if halves else -1, goes))
             if not halves:
-                return out
-            goes, rank = rank, halves[side]
+                break
+            goes, at = at, halves[side]
+        self.edges[side][rank] = out
+        return out
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether two tokens remain two when their bytes stand side by side: no merge across the seam comes first."""
         key = left << 32 | right
         known = self.apart.get(key)
         if known is None:
-            known = True
-            for a, a_born, a_goes in self._edge(left, 1):
-                for b, b_born, b_goes in self._edge(right, 0):
-                    rank = self.ranks.get(a + b)
-                    # of equal ranks the leftmost merges first
-                    if rank is not None and rank < a_goes and rank <= b_goes and b_born < a_goes and a_born <= b_goes:
-                        known = False
-            if len(self.apart) > 4 * MAX_STATES:
+            if len(self.apart) > MAX_PAIRS:
                 self.apart.clear()
-            self.apart[key] = known
+            known = self.apart[key] = not self._merges(self.edges[1].get(left) or self._edge(left, 1), self.edges[0].get(right) or self._edge(right, 0))
         return known
 
-    def _intern(self, state: tuple) -> int:
-        if state not in self.number:
-            self.number[state] = len(self.states)
-            self.states.append(state)
-            self.final.append(next(pending for node, _, pending in state if node == 0))
-        return self.number[state]
-
-    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live = []
-        for node, before, pending in self.states[at]:
-            child = self.children.get(node << 8 | byte)
-            if child is None:
-                continue
-            if child in self.inner:
-                live.append((child, before, pending))
-            token = self.token_at[child]
-            if token >= 0 and (before < 0 or self._apart(before, token)):
-                live.append((0, token, (*pending, token)))
-        agreed = 0
-        shortest = min(len(p) for _, _, p in live)
-        while agreed < shortest and len({p[agreed] for _, _, p in live}) == 1:
-            agreed += 1
-        emitted = live[0][2][:agreed]
-        made = (self._intern(tuple((n, b, p[agreed:]) for n, b, p in live)), emitted)
+    def _merges(self, left: list, right: list) -> bool:
+        rank_of = self.ranks.get
+        for a, a_born, a_goes in left:
+            for b, b_born, b_goes in right:
+                rank = rank_of(a + b)
+                # of equal ranks the leftmost merges first
+                if rank is not None and rank < a_goes and rank <= b_goes and b_born < a_goes and a_born <= b_goes:
+                    return True
+        return False
+
+    def _intern(self, nodes: tuple[int, ...], ends: tuple[tuple[int, int], ...]) -> int:
+        if (nodes, ends) not in self.number:
+            self.number[nodes, ends] = len(self.states)
+            self.states.append(nodes)
+            self.ends.append(ends)
+        return self.number[nodes, ends]
+
+    def _step(self, at: int, byte: int) -> int:
+        """The state behind a byte: open tokens one byte on, a new one at the root, and the tokens that may end here."""
+        met = [child for node in self.states[at] if (child := self.children.get(node << 8 | byte)) is not None]
+        made = self._intern((*(c for c in met if c in self.inner), 0), tuple((self.token_at[c], self.depth[c]) for c in met if self.token_at[c] >= 0))
         self.steps[at << 8 | byte] = made
         return made
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+    def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is itself a token is that token."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if len(self.states) > MAX_STATES:
             self._restart()
-        at, out, steps = 0, [], self.steps
+        at, out, steps, ends, apart = 0, [], self.steps, self.ends, self.apart
+        chosen = [-1]  # the token that ends at each byte of the window; first the one before it
         for byte in piece:
-            step = steps.get(at << 8 | byte) or self._step(at, byte)
-            at = step[0]
-            if step[1]:
-                out.extend(step[1])
-        out.extend(self.final[at])
-        return tuple(out)
+            key = at << 8 | byte
+            at = steps[key] if key in steps else self._step(at, byte)
+            n = len(chosen)
+            for token, length in ends[at]:
+                before = chosen[n - length]
+                if before < 0:
+                    break
+                known = apart.get(before << 32 | token)
+                if known or known is None and self._apart(before, token):
+                    break
+            chosen.append(token)
+            if n > LOOKAHEAD:
+                chosen = self._emit(chosen, {n - self.depth[node] for node in self.states[at]}, out)
+        self._emit(chosen, {len(chosen) - 1}, out)
+        return out
+
+    def _emit(self, chosen: list[int], open_at: set[int], out: list[int]) -> list[int]:
+        """Emit the tokens up to the last byte that the paths of all open tokens pass; the window that is left."""
+        while len(open_at) > 1:
+            furthest = max(open_at)
+            open_at.remove(furthest)
+            open_at.add(furthest - len(self.tokens[chosen[furthest]]))
+        agreed = at = open_at.pop()
+        run = []
+        while at:
+            run.append(chosen[at])
+            at -= len(self.tokens[chosen[at]])
+        out.extend(reversed(run))
+        return chosen[agreed:]
 
     def encode(self, pieces: Iterable[str]) -> list[int]:
         if len(self.remembered) > MAX_PIECES:
@@ -172,6 +194,8 @@ class StreamingDecoder:
 
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens, self.state, self.known = tokens, self.START, {}
+        #: Text of the tokens that are whole characters.
+        self.whole: dict[int, str] = {}
         self.leads = {b: (low, high, n) for first, last, low, high, n in UTF8_LEADS for b in range(first, last + 1)}
 
     def _bytes(self, state: tuple, data: bytes) -> tuple[tuple, str]:
@@ -196,6 +220,11 @@ class StreamingDecoder:
         return (held, low, high, left) if left else self.START, "".join(out)
 
     def feed(self, ids: Iterable[int]) -> str:
+        if self.state is self.START:
+            try:
+                return "".join([self.whole[i] for i in ids])
+            except KeyError:  # a character in several tokens, or one not met yet: step by step
+                pass
         out, state, known = [], self.state, self.known
         for i in ids:
             step = known.get((state, i))
@@ -203,6 +232,8 @@ class StreamingDecoder:
                 if len(known) > MAX_PIECES:
                     known.clear()
                 step = known[state, i] = self._bytes(state, self.tokens[i])
+                if state is self.START and step[0] is self.START:
+                    self.whole[i] = step[1]
             state = step[0]
             out.append(step[1])
         self.state = state

@@ -57,6 +57,8 @@ def test_whole_table(spark, library):
 
 def test_states_are_dropped_without_harm(ranks, library, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 50)
+    monkeypatch.setattr(bpe, "LOOKAHEAD", 3)
     monkeypatch.setattr(bpe, "MAX_PIECES", 20)
     small = bpe.Transducer(ranks)
     cut = regex.compile(public_tokenizers.PATTERN)
