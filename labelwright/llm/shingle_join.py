@@ -21,18 +21,25 @@ CELLS = 1 << 20
 _PART = 1 << 16
 BLOCK_DOCS = 1024
 MU = 0.0085
-SIGNED = "doc_id long, n int, s1 long, s2 long, part int, counts binary"
+SIGNED = "doc_id long, n int, s1 long, s2 long, sketch binary, part int, counts binary"
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 cells: two sets have no more in common than the sum of the smaller counts.
+    Empty if a count does not fit a byte; such a set is never ruled out."""
+    counts = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = np.zeros(CELLS, np.uint32), []
         for batch in batches:
-            ids, n, s1, s2 = batch.column(0), [], [], []
+            ids, n, s1, s2, sketches = batch.column(0), [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 held.append(_cell(own))
                 if len(held) >= 1000 or len(own) > CELLS:
@@ -40,17 +47,18 @@ def _sign(width: int):
                     held = []
                 digest = xxhash.xxh3_128_intdigest(own.tobytes())
                 n.append(len(own))
+                sketches.append(sketch(own))
                 s1.append(digest >> 64)
                 s2.append(digest & (1 << 64) - 1)
             none = pa.nulls(len(ids), pa.int32())
             signs = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), *signs, none, pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "s1", "s2", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), *signs, pa.array(sketches, pa.binary()), none, pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "s1", "s2", "sketch", "part", "counts"])
         if held:
             seen += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         parts = [p for p in range(CELLS // _PART) if seen[p * _PART:(p + 1) * _PART].any()]
         packed = [zlib.compress(seen[p * _PART:(p + 1) * _PART].tobytes(), 1) for p in parts]
-        blank = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*blank, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "part", "counts"])
+        blank = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "sketch", "part", "counts"])
     return run
 
 
@@ -146,6 +154,25 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
+def _rule_out(percent: int):
+    """Documents of a block that may link with another, as far as sizes and sketches tell."""
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("n")
+        n = block.column("n").to_numpy().astype(np.int64)
+        known = np.array([len(x) > 0 for x in block.column("sketch").to_pylist()])
+        cells = np.frombuffer(b"".join(x or b"\xff" * 256 for x in block.column("sketch").to_pylist()), np.uint8).reshape(-1, 256)
+        may = np.zeros(len(n), bool)
+        for q in range(1, len(n)):
+            first = int(np.searchsorted(n, -(-percent * n[q] // 100)))
+            if first < q:
+                common = np.minimum(cells[first:q], cells[q]).sum(1, dtype=np.int64)
+                fine = (common * (100 + percent) >= percent * (n[first:q] + n[q])) | ~known[first:q] | (not known[q])
+                may[first:q] |= fine
+                may[q] |= fine.any()
+        return block.filter(pa.array(may)).select(["node", "component", "n"])
+    return run
+
+
 def _link_block(percent: int):
     def run(block: pa.Table) -> pa.Table:
         ids = block.column("id").to_pylist()
@@ -190,13 +217,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     1. Equal sets are one class with its smallest id. 2. The rarest n - T + 1 shingles of each set are its short lists;
     any two sets that can link share one. 3. In a list ordered by size, neighbours whose sizes can match are chained;
-    chained documents form groups that contain every link. 4. Each group, in blocks of bounded size, is searched
-    exactly. Full sets are made only for documents in such groups.
+    chained documents form groups that contain every link. 4. Within a group, in blocks of bounded size, sketches rule
+    out documents that can't link. 5. Blocks of the others are searched exactly; only for them are full sets made.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = cut_lineage(base.mapInArrow(_sign(width), SIGNED))
-    rows = signed.where("part is null").select("doc_id", "n", "s1", "s2")
+    rows = signed.where("part is null").select("doc_id", "n", "s1", "s2", "sketch")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     copies = rows.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     copies = cut_lineage(copies)
@@ -212,8 +239,13 @@ def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         to = copies.groupBy(F.col("a").alias(end)).agg(F.min("b").alias("rep"))
         moved = moved.join(to, end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
     groups = components(moved.select("a", "b"))
-    sizes = rows.groupBy("doc_id").agg(F.max("n").alias("n"))
-    nodes = cut_lineage(groups.join(sizes, groups.node == sizes.doc_id).select("node", "component", "n"))
+    several = rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("s1") == F.max("s1")).alias("one"))
+    # an id with several texts is never ruled out
+    sizes = several.select("doc_id", "n", F.when(F.col("one"), F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"))
+    grouped = cut_lineage(groups.join(sizes, groups.node == sizes.doc_id).select("node", "component", "n", "sketch"))
+    drawn = grouped.join(_blocks(grouped.select("node", "component", "n"), percent, block_docs).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    likely = drawn.select("block", "node", "component", "n", "sketch").groupBy("block").applyInArrow(_rule_out(percent), "node long, component long, n int")
+    nodes = cut_lineage(likely.distinct())
     blocks = _blocks(nodes, percent, block_docs)
     met = base.join(blocks, base.doc_id == blocks.node).select("doc_id", "text", "block")
     found = met.mapInArrow(_sets(width), "id long, block string, shingles binary").groupBy("block").applyInArrow(_link_block(percent), "a long, b long")
