@@ -13,6 +13,8 @@ from labelwright.session import cut_lineage
 #: A leaf for comparison: up to four words of one paragraph.
 PIECE = r"[^ \t\n]+(?:[ \t]+[^ \t\n]+){0,3}"
 DIGITS = 6
+#: Stands for a null id in joins; the key of such a row differs from any of a row with this id.
+NO_ID = -(1 << 63)
 
 
 def section_hashes(text: Column) -> Column:
@@ -87,15 +89,17 @@ def edited_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     A text is moved once, its head and fingerprint once more to the document before it.
     """
-    base = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), text_key(F.col(doc_id), F.col(text)).alias("_key"))
-    links = neighbours(docs, doc_id, text, partitions).select(F.col("_id").alias("_i"), F.col("_key").alias("_k"), "_prev_id", "_prev_key", "_prev_n")
-    met = base.dropDuplicates(["_id", "_key"]).join(links, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
-    heads = met.select(F.col("_prev_id").alias("_i"), F.col("_prev_key").alias("_k"), F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_prev_n") / 4).cast("int")).alias("_head"),
-                       fingerprint(F.col("_text")).alias("next_fingerprint"))
-    joined = base.join(heads, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k")))
+    # both joins deal the text out by the same two plain columns, so it is moved once
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(NO_ID))
+    base = docs.select(known(F.col(doc_id)).alias("_id"), text_key(F.col(doc_id), F.col(text)).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    links = neighbours(docs, doc_id, text, partitions).select(known(F.col("_id")).alias("_i"), F.col("_key").alias("_k"), known(F.col("_prev_id")).alias("_pi"), F.col("_prev_key").alias("_pk"), "_prev_n")
+    met = base.join(links, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k")))
+    heads = met.select(F.col("_pi").alias("_i"), F.col("_pk").alias("_k"), F.substring(F.col("_text"), F.lit(1), F.floor(F.col("_prev_n") / 4).cast("int")).alias("_head"),
+                       fingerprint(F.col("_text")).alias("next_fingerprint")).groupBy("_i", "_k").agg(F.min(F.struct("_head", "next_fingerprint")).alias("_h"))
+    joined = base.join(heads, (F.col("_id") == F.col("_i")) & (F.col("_key") == F.col("_k")))
     n = F.length("_text")
     kept = F.substring(F.col("_text"), F.lit(1), (n - F.floor(n / 4)).cast("int"))
-    return joined.select(F.col("_id").alias("doc_id"), F.col("_text").alias("text"), F.concat(kept, F.col("_head")).alias("edited"), "next_fingerprint")
+    return joined.select(F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), F.col("_text").alias("text"), F.concat(kept, F.col("_h._head")).alias("edited"), F.col("_h.next_fingerprint").alias("next_fingerprint"))
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text") -> DataFrame:
