@@ -61,17 +61,16 @@ def select_profile(df: DataFrame, category: str = "category") -> DataFrame:
     return df.withColumn("profile", profile).withColumn("is_wholesale", F.coalesce(key.isin(*WHOLESALE_CATEGORIES), F.lit(False)))
 
 
-def clean_detections(df: DataFrame, cap: int = 500, text_chars: int = 512) -> DataFrame:
-    """Finite boxes with an area among the first ``cap`` per image; confidence clamped, text trimmed and bounded.
-
-    The position within the image is given by ``pos``, so the cap is a filter and needs no window.
-    """
+def clean_detections(df: DataFrame, cap: int | None = None, text_chars: int | None = None) -> DataFrame:
+    """Finite boxes with an area; confidence clamped, text trimmed. ``cap`` keeps the first boxes of an image by ``pos``
+    and ``text_chars`` the beginning of a text; without them nothing is cut."""
     box = [F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]
     conf = F.col("confidence").cast("double")
     ok = all_of([finite(c) for c in [*box, conf]]) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
-    return (df.where((F.col("pos") < cap) & ok)
+    text = strip(F.coalesce("text", F.lit("")))
+    return (df.where(ok if cap is None else ok & (F.col("pos") < cap))
             .withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf)))
-            .withColumn("text", F.substring(strip(F.coalesce("text", F.lit(""))), 1, text_chars)))
+            .withColumn("text", text if text_chars is None else F.substring(text, 1, text_chars)))
 
 
 def reports_or_scan(scans: DataFrame, reports: DataFrame, override: tuple[str, ...] = ("status", "score")) -> DataFrame:
@@ -89,10 +88,10 @@ def quality_gate(df: DataFrame, minimum: float = 0.80, confidence: str = "confid
     return df.withColumn("gate", F.when(c.isNull(), "missing").when(c < minimum, "low_confidence").otherwise("ok"))
 
 
-def text_visibility(docs: DataFrame, detections: DataFrame, cap: int = 200) -> DataFrame:
+def text_visibility(docs: DataFrame, detections: DataFrame) -> DataFrame:
     """Per document, whether text regions were found; ``docs(doc_id, success)``."""
     counts = detections.groupBy("doc_id").agg(F.count("*").alias("_n"))
-    n = F.when(F.col("success"), F.least(F.coalesce("_n", F.lit(0)), F.lit(cap))).otherwise(0).cast("bigint")
+    n = F.when(F.col("success"), F.coalesce("_n", F.lit(0))).otherwise(0).cast("bigint")
     status = (F.when(~F.col("success"), "unavailable").when(n > 0, "regions_detected").otherwise("not_detected_review_required"))
     return docs.join(counts, "doc_id", "left").select("doc_id", status.alias("status"), n.alias("region_count"))
 

@@ -170,10 +170,10 @@ def candidate_pairs(a: DataFrame, b: DataFrame, image: str = "image_id", minimum
     return scored.where(F.col("score") >= minimum).select(image, "a", "b", "score")
 
 
-def match_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", minimum: float = 0.45, band: int = 64, cap: int = 500) -> DataFrame:
+def match_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", minimum: float = 0.45, band: int = 64, cap: int | None = None) -> DataFrame:
     """Greedy one-to-one matching per image by (score, left, right) descending, with singles of both sides.
 
-    Both sides are cleaned first, which keeps at most ``cap`` boxes per image, so the candidates one image folds
+    Both sides are cleaned first; with ``cap`` that keeps so many boxes per image, so the candidates one image folds
     over are bounded.
     """
     a, b = (clean_detections(side, cap) for side in (a, b))

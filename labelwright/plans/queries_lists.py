@@ -57,11 +57,11 @@ def _(t):
     return P.select_profile(parts).groupBy("profile", "is_wholesale").agg(F.count("*").alias("n"))
 
 
-@query("p7_clean_detections", """select doc_id, pos, substr(trim(text), 1, 12) as text, round(least(1, greatest(0, confidence * 1.2 - 0.1)), 6) as confidence from detections where pos < 15 and not (doc_id % 6 = 0 and pos % 4 = 0) and pos % 7 <> 3""", ("detections",))
+@query("p7_clean_detections", """select doc_id, pos, trim(text) as text, round(least(1, greatest(0, confidence * 1.2 - 0.1)), 6) as confidence from detections where not (doc_id % 6 = 0 and pos % 4 = 0) and pos % 7 <> 3""", ("detections",))
 def _(t):
     d = t.view("detections").withColumn("x2", F.when((F.col("doc_id") % 6 == 0) & (F.col("pos") % 4 == 0), F.col("x1")).otherwise(F.col("x2")))
     d = d.withColumn("confidence", F.when(F.col("pos") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("confidence") * 1.2 - 0.1))
-    return P.clean_detections(d, cap=15, text_chars=12).select("doc_id", "pos", "text", F.round("confidence", 6).alias("confidence"))
+    return P.clean_detections(d).select("doc_id", "pos", "text", F.round("confidence", 6).alias("confidence"))
 
 
 @query("p8_reports_or_scan", """select o.o_orderkey as scan_id, l.l_linenumber as report_id, coalesce(l.l_returnflag, o.o_orderstatus) as status, coalesce(l.l_quantity, o.o_totalprice) as score
@@ -80,10 +80,10 @@ def _(t):
 
 
 @query("p10_text_visibility", """select p_partkey as doc_id, case when p_partkey % 8 = 0 then 'unavailable' when n > 0 then 'regions_detected' else 'not_detected_review_required' end as status,
- case when p_partkey % 8 = 0 then 0 else least(coalesce(n, 0), 10) end as region_count from part left join (select doc_id, count(*) n from detections where doc_id % 5 <> 0 group by 1) d on d.doc_id = p_partkey""", ("detections",))
+ case when p_partkey % 8 = 0 then 0 else coalesce(n, 0) end as region_count from part left join (select doc_id, count(*) n from detections where doc_id % 5 <> 0 group by 1) d on d.doc_id = p_partkey""", ("detections",))
 def _(t):
     docs = t.part.select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 8 != 0).alias("success"))
-    return P.text_visibility(docs, t.view("detections").where("doc_id % 5 <> 0"), cap=10)
+    return P.text_visibility(docs, t.view("detections").where("doc_id % 5 <> 0"))
 
 
 @query("p11_profile_applicability", """select applicability, count(*) as n from (select case when p_partkey % 9 = 0 or (p_partkey % 2 = 0 and p_partkey % 3 <> 0) then 'NOT_APPLICABLE' else 'APPLICABLE' end as applicability from part) group by 1""")
@@ -181,9 +181,9 @@ def _(t):
     return W.rank_candidates(t.view("detections").withColumn("class_id", F.col("pos") % 3), 0.7, 4).select("doc_id", "pos", "class_id", "rank")
 
 
-@query("w7_recent_first", "select revision_id, created_at from revisions where product_id % 7 = 3 order by created_at desc, revision_id desc limit 50", REV)
+@query("w7_recent_first", "select revision_id, created_at from revisions order by created_at desc, revision_id desc limit 50", REV)
 def _(t):
-    return W.recent_first(t.view("revisions").where("product_id % 7 = 3"), "created_at", "revision_id", 50).select("revision_id", "created_at")
+    return W.recent_first(t.view("revisions"), "created_at", "revision_id", 50).select("revision_id", "created_at")
 
 
 @query("w7_top_recent", "select revision_id, created_at from revisions order by created_at desc, revision_id desc limit 5", REV)

@@ -328,7 +328,7 @@ def _lots(t):
     lots = t.lineitem.groupBy(F.col("l_partkey").alias("lot_id")).agg(F.count("*").alias("lot_size"), F.round(F.avg("l_quantity")).alias("declared"))
     from pyspark.sql import Window as W
     order = ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"]
-    first = t.lineitem.withColumn("rn", F.row_number().over(W.partitionBy("l_partkey").orderBy(*order))).where("rn <= 16")
+    first = t.lineitem.withColumn("rn", F.row_number().over(W.partitionBy("l_partkey").orderBy(*order)))
     sizes = K.band_lookup(lots, table(t.spark, "sampling_plan"), "lot_size", low_open=False).select(F.col("lot_id").alias("_lot"), "sample_size")
     take = F.col("sample_size") - F.when(F.col("l_partkey") % 9 == 0, 1).otherwise(0)
     samples = first.join(sizes, F.col("l_partkey") == F.col("_lot")).where(F.col("rn") <= take).select(

@@ -17,9 +17,9 @@ from labelwright.streaming import jobs
 
 
 def replay(t, name: str) -> DataFrame:
-    """A given table as a file stream."""
+    """A given table, one file or a folder of part files, as a file stream; a pattern may match either."""
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 64).parquet(t.path)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{t.path}/{name}.parque[t]")
 
 
 def _events(t):
