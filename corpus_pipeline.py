@@ -45,7 +45,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns with token ids, their number, and whether decoding gives the text back."""
     path = public_tokenizers.path(VOCABULARY)
     ids, decoded, n, same = (fresh(docs, x) for x in ("ids", "decoded", "n_tokens", "round_trip"))
-    both = bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN, ids=ids), path, ids=ids, text=decoded)
+    both = bpe.round_trip_documents(docs, path, public_tokenizers.PATTERN, ids=ids, decoded=decoded)
     return both.withColumn(n, F.size(ids).cast("long")).withColumn(same, F.col(decoded) == F.coalesce(F.col("text"), F.lit(""))).drop(decoded)
 
 

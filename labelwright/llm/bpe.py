@@ -260,6 +260,17 @@ def _transducer(content: bytes) -> Transducer:
     return _compiled[hash(content)]
 
 
+_tokens: dict[int, dict[int, bytes]] = {}
+
+
+def _token_bytes(content: bytes) -> dict[int, bytes]:
+    """Bytes of each token, one table per Python worker and vocabulary; decoding needs no transducer."""
+    if hash(content) not in _tokens:
+        _tokens.clear()
+        _tokens[hash(content)] = {i: b for b, i in parse_ranks(content).items()}
+    return _tokens[hash(content)]
+
+
 def read_vocabulary(spark: SparkSession, path: str):
     """The rank file, sent to the executors once; a file above ``MAX_VOCABULARY_BYTES`` is refused."""
     with open(path, "rb") as file:
@@ -283,12 +294,29 @@ def decode_column(ids: Column, vocabulary) -> Column:
     """Text of token ids; null counts as none. Bytes that are no UTF-8 give U+FFFD."""
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = StreamingDecoder(_transducer(vocabulary.value).tokens)
+        decoder = StreamingDecoder(_token_bytes(vocabulary.value))
         for lists in batches:
             yield pa.array([decoder.feed(x.values.to_numpy().tolist() if x.is_valid else ()) + decoder.finish() for x in lists], pa.string())
     return decode(ids)
 
 
+def round_trip_column(text: Column, vocabulary, pattern: str) -> Column:
+    """struct<ids, decoded>: token ids of a text and the text decoded from them, made by one worker instead of two, so
+    the ids don't travel to the JVM and back and each task holds one transducer."""
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine, cut = _transducer(vocabulary.value), regex.compile(pattern)
+        decoder = StreamingDecoder(machine.tokens)
+        for texts in batches:
+            ids, decoded = [], []
+            for t in texts:
+                own = machine.encode(cut.findall(t.as_py() or ""))
+                ids.append(np.array(own, np.int32))
+                decoded.append(decoder.feed(own) + decoder.finish())
+            yield pa.StructArray.from_arrays([long_lists(ids, pa.int32()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+    return both(text)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` plus token ids under ``ids`` (underscores in front if the name is taken).
 
@@ -301,3 +329,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 def decode_documents(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``tokens`` plus the decoded text under ``text`` (underscores in front if the name is taken). Null ids give an empty text."""
     return tokens.withColumn(fresh(tokens, text), decode_column(F.col(f"`{ids}`"), read_vocabulary(tokens.sparkSession, path)))
+
+
+def round_trip_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` plus the token ids and the text decoded from them (underscores in front of names that are taken): what
+    ``encode_documents`` and ``decode_documents`` give one after the other."""
+    made, ids, decoded = fresh(docs, "made"), fresh(docs, ids), fresh(docs, decoded)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    both = docs.withColumn(made, round_trip_column(F.col(f"`{text}`"), read_vocabulary(docs.sparkSession, path), pattern))
+    return both.select(*kept, F.col(f"{made}.ids").alias(ids), F.col(f"{made}.decoded").alias(decoded))

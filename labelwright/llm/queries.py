@@ -15,8 +15,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 
 def token_digests(docs: DataFrame) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    decoded = bpe.decode_documents(encoded, path)
+    decoded = bpe.round_trip_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                           F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -82,6 +82,11 @@ def test_odd_rows(spark, library):
     assert out.columns == [*docs.columns, "_ids"]
     for r in out.collect():
         assert list(r["_ids"]) == library.encode_ordinary(r["text"] or "")
+    apart = bpe.decode_documents(out, PATH, ids="_ids", text="back").select("_ids", "back")
+    both = bpe.round_trip_documents(docs, PATH, public_tokenizers.PATTERN, decoded="back")
+    assert both.columns == [*docs.columns, "_ids", "back"]
+    assert sorted(map(repr, both.select("_ids", "back").collect())) == sorted(map(repr, apart.collect()))
+    assert bpe.round_trip_documents(no_documents(spark), PATH, public_tokenizers.PATTERN).count() == 0
     digests = token_digests(docs)
     assert digests.where("n_tokens = 0").count() == 3
     assert digests.join(docs.where("doc_id = 4").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id").where("h = decoded_sha256").count() == 1
