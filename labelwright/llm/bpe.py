@@ -36,6 +36,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
         self.children: dict[int, int] = {}
         self.token_at = [-1]
         self.depth = [0]
@@ -55,14 +56,14 @@ class Transducer:
                 self.token_at[node] = rank
         self.apart: dict[int, bool] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self.remembered: dict[str, list[int]] = {}
+        self.remembered = Remembered(self)
         self._restart()
 
     def _restart(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple[int, ...]] = []
         self.ends: list[tuple[tuple[int, int], ...]] = []
-        self.steps: dict[int, int] = {}
+        self.steps: dict[int, tuple[int, tuple[tuple[int, int], ...]]] = {}
         self._intern((0,), ())
 
     def _reachable(self, rank: int) -> bool:
@@ -107,10 +108,11 @@ class Transducer:
         rank_of = self.ranks.get
         for a, a_born, a_goes in left:
             for b, b_born, b_goes in right:
-                rank = rank_of(a + b)
-                # of equal ranks the leftmost merges first
-                if rank is not None and rank < a_goes and rank <= b_goes and b_born < a_goes and a_born <= b_goes:
-                    return True
+                # parts that never stand side by side aren't looked up; of equal ranks the leftmost merges first
+                if b_born < a_goes and a_born <= b_goes:
+                    rank = rank_of(a + b)
+                    if rank is not None and rank < a_goes and rank <= b_goes:
+                        return True
         return False
 
     def _intern(self, nodes: tuple[int, ...], ends: tuple[tuple[int, int], ...]) -> int:
@@ -120,12 +122,12 @@ class Transducer:
             self.ends.append(ends)
         return self.number[nodes, ends]
 
-    def _step(self, at: int, byte: int) -> int:
+    def _step(self, at: int, byte: int) -> tuple[int, tuple[tuple[int, int], ...]]:
         """The state behind a byte: open tokens one byte on, a new one at the root, and the tokens that may end here."""
         met = [child for node in self.states[at] if (child := self.children.get(node << 8 | byte)) is not None]
         made = self._intern((*(c for c in met if c in self.inner), 0), tuple((self.token_at[c], self.depth[c]) for c in met if self.token_at[c] >= 0))
-        self.steps[at << 8 | byte] = made
-        return made
+        step = self.steps[at << 8 | byte] = (made, self.ends[made])
+        return step
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is itself a token is that token."""
@@ -134,51 +136,69 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._restart()
-        at, out, steps, ends, apart = 0, [], self.steps, self.ends, self.apart
+        at, out, steps, apart = 0, [], self.steps, self.apart
         chosen = [-1]  # the token that ends at each byte of the window; first the one before it
+        windowed = len(piece) > LOOKAHEAD
         for byte in piece:
-            key = at << 8 | byte
-            at = steps[key] if key in steps else self._step(at, byte)
-            n = len(chosen)
-            for token, length in ends[at]:
-                before = chosen[n - length]
+            try:
+                at, ends = steps[at << 8 | byte]
+            except KeyError:
+                at, ends = self._step(at, byte)
+            for token, length in ends:
+                before = chosen[-length]
                 if before < 0:
                     break
                 known = apart.get(before << 32 | token)
                 if known or known is None and self._apart(before, token):
                     break
             chosen.append(token)
-            if n > LOOKAHEAD:
-                chosen = self._emit(chosen, {n - self.depth[node] for node in self.states[at]}, out)
-        self._emit(chosen, {len(chosen) - 1}, out)
-        return out
+            if windowed and len(chosen) > LOOKAHEAD + 1:
+                chosen = self._emit(chosen, {len(chosen) - 1 - self.depth[node] for node in self.states[at]}, out)
+        rest = self._run(chosen, len(chosen) - 1)
+        return out + rest if out else rest
+
+    def _run(self, chosen: list[int], at: int) -> list[int]:
+        """The tokens of the window up to a byte."""
+        run, length = [], self.length
+        while at:
+            token = chosen[at]
+            run.append(token)
+            at -= length[token]
+        run.reverse()
+        return run
 
     def _emit(self, chosen: list[int], open_at: set[int], out: list[int]) -> list[int]:
         """Emit the tokens up to the last byte that the paths of all open tokens pass; the window that is left."""
         while len(open_at) > 1:
             furthest = max(open_at)
             open_at.remove(furthest)
-            open_at.add(furthest - len(self.tokens[chosen[furthest]]))
-        agreed = at = open_at.pop()
-        run = []
-        while at:
-            run.append(chosen[at])
-            at -= len(self.tokens[chosen[at]])
-        out.extend(reversed(run))
+            open_at.add(furthest - self.length[chosen[furthest]])
+        agreed = open_at.pop()
+        out.extend(self._run(chosen, agreed))
         return chosen[agreed:]
 
     def encode(self, pieces: Iterable[str]) -> list[int]:
-        if len(self.remembered) > MAX_PIECES:
-            self.remembered.clear()
-        known, out = self.remembered, []
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.encode_piece(piece.encode())
-                if len(piece) < 64:
-                    known[piece] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return list(chain.from_iterable(map(self.remembered.__getitem__, pieces)))
+
+
+class Remembered(dict):
+    """Ids of the short pieces met lately; others are encoded when asked for. When ``MAX_PIECES`` are held they become
+    the older half, from which what is met again comes back, and the half before them goes."""
+
+    def __init__(self, machine: Transducer):
+        super().__init__()
+        self.encode_piece, self.older = machine.encode_piece, {}
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece.encode())
+        if len(piece) < 64:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 #: Lead byte ranges of UTF-8 with the range of the next byte and the number of bytes that follow (Unicode, table 3-7).
