@@ -70,20 +70,20 @@ def _hash_level(level: Column) -> Column:
     return F.transform(half, lambda i: F.unhex(F.sha2(F.concat(left(i), right(i)), 256)))
 
 
-def merkle_root(leaves: DataFrame, group: str, order: str, leaf: str, block_bits: int = 12, rounds: int = 3) -> DataFrame:
+def merkle_root(leaves: DataFrame, group: str, order: str, leaf: str, block_bits: int = 12, rounds: int = 1) -> DataFrame:
     """Root per group over ASCII-hex leaves in order; upper levels hash raw bytes; an odd level repeats its last node.
 
     Leaves are numbered exactly, then folded in blocks of ``2**block_bits`` that line up with the tree, and the
-    block nodes are folded again, ``rounds`` times in all, which covers ``2**(block_bits * rounds)`` leaves of a
-    group. A block is the most a task ever holds of a group.
+    block nodes are folded again until the largest group is one node, in ``rounds`` at least. A block is the most a task ever holds of a group.
     """
     size = 2 ** block_bits
     numbered = bucketed_row_number(leaves.select(group, order, F.col(leaf).cast("string").alias("_leaf")), [group], [F.col(order)],
                                    _order_bucket(leaves, order), "_n")
     nodes = numbered.select(group, (F.col("_n") - 1).alias("_i"), F.encode("_leaf", "utf-8").alias("_node"))
     totals = nodes.groupBy(group).agg(F.count("*").alias("_total"))
+    largest = leaves.groupBy(group).count().agg(F.max("count")).first()[0] or 1
     nodes = nodes.join(totals, group)
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-(largest - 1).bit_length() // block_bits))):
         blocks = nodes.groupBy(group, F.floor(F.col("_i") / size).alias("_b")).agg(
             F.array_sort(F.collect_list(F.struct("_i", "_node"))).alias("_l"), F.first("_total").alias("_t"))
         folded = _fold_block(F.transform("_l", lambda x: x["_node"]), block_bits, F.col("_t") > size)
@@ -102,8 +102,16 @@ def _order_bucket(df: DataFrame, order: str) -> Column:
     """A coarse bucket that does not decrease with the order column."""
     kind = dict(df.dtypes)[order]
     if kind in ("bigint", "int", "smallint", "tinyint"):
-        return F.floor(F.col(order) / 4096)
-    return F.substring(F.col(order).cast("string"), 1, 6)
+        return F.shiftright(F.col(order).cast("bigint"), 12)
+    if kind in ("double", "float"):
+        return F.when(F.isnan(order), F.lit(2 ** 63 - 1)).otherwise(F.floor(order))
+    if kind.startswith("decimal"):
+        return F.floor(order)
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.date_trunc("hour", F.col(order))
+    if kind == "string":
+        return F.substring(F.col(order), 1, 6)
+    raise ValueError(f"no bucket keeps the order of {kind}")
 
 
 def package_digest(evidence_id: Column, ruleset_digest: Column, model_digests: Column) -> Column:

@@ -30,7 +30,8 @@ LABEL_PATTERNS = {
     "consumer_care": r"^\s*(?:consumer\s*care|customer\s*care)\s*[:\-]\s*(.{2,200})$",
     "mrp": r"^\s*(?:m\.?\s*r\.?\s*p\.?|maximum\s*retail\s*price)\s*[:\-]?\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)",
 }
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&#8377;": "₹", "&#x20b9;": "₹", "&#x20B9;": "₹", "&rsquo;": "’", "&lsquo;": "‘",
+            "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
 
 
 def admit_pages(pages: DataFrame) -> DataFrame:
@@ -54,7 +55,8 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     h = F.col(html)
     title = blank_to_null(unescape(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
     tags = F.regexp_extract_all(h, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
-    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    # double-quoted, single-quoted and bare values, each in a group of its own
+    attribute = lambda tag, name: F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i) for i in (1, 2, 3)])
     key = lambda tag: F.lower(strip(F.coalesce(F.nullif(attribute(tag, "property"), F.lit("")), attribute(tag, "name"))))
     entries = F.filter(F.transform(tags, lambda tag: F.struct(key(tag).alias("key"), unescape(attribute(tag, "content")).alias("value"))),
                        lambda e: (F.length(e["key"]) > 0) & (F.length(e["value"]) > 0))

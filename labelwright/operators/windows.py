@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from labelwright.functions.ordering import bucketed_row_number
 from labelwright.functions.text import fold
+from labelwright.session import cut_lineage
 
 
 def version_number(revisions: DataFrame, product: str, created: str, tie: str) -> DataFrame:
@@ -71,13 +72,25 @@ def recent_first(df: DataFrame, ts: str, tie: str, k: int) -> DataFrame:
 SORTS = ("az", "za", "high", "low", "newest", "oldest")
 
 
-def sort_products(df: DataFrame, how: str, tie: str = "product_id") -> DataFrame:
-    """List order of products; a missing score sorts as -1 and a missing date as the epoch."""
+def _list_order(how: str) -> Column:
+    """A missing score sorts as -1 and a missing date as the epoch."""
     score = F.coalesce(F.col("score"), F.lit(-1.0))
     date = F.coalesce(F.col("date"), F.lit("1970-01-01").cast("timestamp"))
-    order = {"az": F.col("name").asc(), "za": F.col("name").desc(), "high": score.desc(), "low": score.asc(),
-             "newest": date.desc(), "oldest": date.asc()}[how]
-    return df.orderBy(order, F.col(tie))
+    return {"az": F.col("name").asc(), "za": F.col("name").desc(), "high": score.desc(), "low": score.asc(),
+            "newest": date.desc(), "oldest": date.asc()}[how]
+
+
+def sort_products(df: DataFrame, how: str, tie: str = "product_id") -> DataFrame:
+    """Products in list order."""
+    return df.orderBy(_list_order(how), F.col(tie))
+
+
+def product_positions(df: DataFrame, how: str, tie: str = "product_id") -> DataFrame:
+    """Place of every product in the list, from 1. Rows are ranged over all tasks in list order, ties included, and the
+    ranges are the buckets of the numbering; they are stored, so a lost task finds the same ranges again."""
+    order = [_list_order(how), F.col(tie)]
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    return bucketed_row_number(ranged, [], order, F.col("_range"), "position").drop("_range")
 
 
 def top_k_per_query(scored: DataFrame, query: str, score: Column, tie: list[str], k: int) -> DataFrame:

@@ -47,13 +47,13 @@ def _(t):
 _KIND = "case event_type when 'signup' then 'submit' when 'view' then 'view' when 'purchase' then 'decide' end"
 
 
-@query("x3_review_state", f"""with e as (select user_id as r, {_KIND} as kind, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('signup', 'view', 'purchase') and user_id % 3 <> 0),
+@query("x3_review_state", f"""with e as (select user_id as r, {_KIND} as kind, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('signup', 'view', 'purchase')),
  s as (select r, min(n) filter (where kind = 'submit') s0 from e group by 1), d as (select s.r, s0, max(n) filter (where kind = 'decide' and n > s0) d, count(*) filter (where kind = 'decide' and n > s0) c from s join e using (r) group by 1, 2),
  b as (select d.r, s0, d, c, case when d is null then s0 else min(n) filter (where kind = 'submit' and n > d) end as base from d join e using (r) group by 1, 2, 3, 4),
  v as (select b.*, (select count(*) from e where e.r = b.r and kind = 'view' and n > base) as views from b)
  select r as revision_id, case when s0 is null then null when base is null then 'DECISION_RECORDED' when views > 0 then 'UNDER_OFFICIAL_REVIEW' else 'PENDING_OFFICIAL_REVIEW' end as status, c as decisions from v""")
 def _(t):
-    actions = _events(t).where("event_type in ('signup', 'view', 'purchase') and user_id % 3 <> 0").select(
+    actions = _events(t).where("event_type in ('signup', 'view', 'purchase')").select(
         F.col("user_id").alias("revision_id"), F.expr(_KIND).alias("kind"), "ts", "event_id")
     out = jobs.run_to_parquet(jobs.stream_review_state(actions), jobs.new_folder(t.spark, "review"), mode="update")
     return jobs.latest(jobs.read_output(t.spark, out), ["revision_id"])

@@ -5,7 +5,7 @@ No reader infers a schema. Every check is a DataFrame of violations, so bad inpu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import blank_to_null, group, strip
@@ -135,14 +135,10 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     """Expected fields and violations; the file holds a list of records or an object with ``records``."""
     raw = spark.read.schema(TRUTH_SCHEMA).option("multiLine", "true").json(path)
     flat = F.struct("product_id", "image_id", "capture_conditions", "expected_fields")
-    records = emit(raw, F.coalesce("records", F.when(F.col("image_id").isNotNull(), F.array(flat))))
+    records = raw.select(F.explode(F.coalesce("records", F.array(flat))).alias("r")).select("r.*")
     return truth_rows(records), truth_violations(records)
 
 
-def emit_records(raw: DataFrame, rows: Column) -> DataFrame:
-    return emit(raw, rows)
-
-
 def truth_rows(records: DataFrame) -> DataFrame:
     entries = F.transform(F.map_entries("expected_fields"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("expected")))
     return emit(records, entries, "image_id")

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright.functions import identifiers, measures
-from labelwright.operators import evidence, geometry, integrity, joins, lines, lots, metrics, rollup, rules
+from labelwright.operators import evidence, geometry, integrity, joins, lines, listing, lots, metrics, rollup, rules
 from labelwright.plans import reference_tables
+from labelwright.sources import readers
 
 
 def one(spark, column):
@@ -264,3 +265,24 @@ def test_confidence_gate(spark):
 def test_instrument_interval_clamps_the_day(spark):
     df = spark.createDataFrame([(dt.date(2024, 2, 29), "clock")], "last_verified date, instrument_category string")
     assert lots.verification_interval(df, F.lit("2025-02-28").cast("date")).head().expires == dt.date(2025, 2, 28)
+
+
+def test_merkle_of_fractions_and_large_groups(spark):
+    leaves = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(70)]
+    df = spark.createDataFrame([("g", 8.25 + i / 4, v) for i, v in reversed(list(enumerate(leaves)))], "g string, i double, leaf string")
+    assert [r.merkle_root for r in integrity.merkle_root(df, "g", "i", "leaf", block_bits=2).collect()] == [merkle(leaves)]
+
+
+@pytest.mark.parametrize("body", ['{"records": [%s]}', "[%s]", "%s"])
+def test_ground_truth_files(spark, tmp_path, body):
+    record = '{"product_id": "p", "image_id": "i", "capture_conditions": ["glare"], "expected_fields": {"mrp": "5"}}'
+    (tmp_path / "truth.json").write_text(body % record)
+    rows, violations = readers.read_ground_truth(spark, str(tmp_path))
+    assert [tuple(r) for r in rows.select("image_id", "field", "expected").collect()] == [("i", "mrp", "5")]
+    assert violations.count() == 0
+
+
+def test_meta_attributes_in_every_form(spark):
+    html = "<meta property='og:title' content='Single &#8377;'><meta name=brand content=Bare><meta name=\"a\" content=\"it's\">"
+    page = listing.page_parts(spark.createDataFrame([(1, html)], "page_id long, html string")).head()
+    assert page.meta == {"og:title": "Single ₹", "brand": "Bare", "a": "it's"}
