@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array: suffixes at minimiser positions, sorted, neighbours compared and extended."""
+"""Repeated passages by sparse suffixes: those at minimiser positions, grouped by content, with the passages that belong to them linked exactly."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import buffers, shingles, slices, text_key, word_hashes
+from labelwright.llm.common import buffers, long_lists, shingles, slices, text_key, word_hashes
 from labelwright.session import cut_lineage
 
 #: A passage is a repeat from this many words on.
@@ -18,22 +18,18 @@ MIN_WORDS = 50
 #: Minimisers are taken over so many successive runs of ``GRAM`` words; one falls into every passage of GRAM + WINDOW - 1 words.
 WINDOW = 24
 GRAM = 8
-#: So many sorted neighbours above a suffix, all of earlier documents, are compared with it.
-NEIGHBOURS = 4
-CONTEXT = "grp long, doc long, ref long, pos int, after binary, before binary"
-SPAN = "doc long, ref long, pos int, n int, other long, other_ref long, other_pos int"
 
 
 def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Positions whose run of ``gram`` words has the least hash in some window; the first of equal ones."""
+    """For each window the position whose run of ``gram`` words has the least hash in it; the first of equal ones."""
     grams = shingles(words, gram)
     if len(grams) < window:
         return np.zeros(0, np.int64)
-    # the place in the low bits settles ties
-    return np.unique(np.lib.stride_tricks.sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1))
+    return np.lib.stride_tricks.sliding_window_view(grams, window).argmin(1) + np.arange(len(grams) - window + 1)
 
 
 def _anchors(min_words: int, window: int, gram: int):
+    """Each anchor with the run of words behind it and the passages of ``min_words`` whose first window it is the minimiser of: ``n`` of them from ``pos`` on."""
     reach = min_words - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,142 +38,84 @@ def _anchors(min_words: int, window: int, gram: int):
             ids, refs = batch.column(0), batch.column(1)
             for a, b in slices(offsets):
                 words, first = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
-                rows, places, groups = [], [], []
+                rows, places, counts, groups = [], [], [], []
                 for i in range(b - a):
                     own = words[first[i]:first[i + 1]]
                     if len(own) < min_words:
                         continue
-                    begin = shingles(own, reach)
-                    at = minimisers(own, gram, window)
-                    at = at[at < len(begin)]
+                    at, start, n = np.unique(minimisers(own, gram, window)[:len(own) - min_words + 1], return_index=True, return_counts=True)
                     rows.append(np.full(len(at), a + i))
-                    places.append(at)
-                    groups.append(begin[at])
+                    places.append(start)
+                    counts.append(n)
+                    groups.append(shingles(own, reach)[at])
                 if rows:
                     row = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups).view(np.int64)), ids.take(row), refs.take(row), pa.array(np.concatenate(places).astype(np.int32))],
-                                                     ["grp", "doc", "ref", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups).view(np.int64)), ids.take(row), refs.take(row), pa.array(np.concatenate(places).astype(np.int32)),
+                                                      pa.array(np.concatenate(counts).astype(np.int32))], ["grp", "doc", "ref", "pos", "n"])
     return run
 
 
-def _contexts(min_words: int, window: int):
-    """Words behind and (reversed) before each kept anchor, as 32-bit hashes; enough to span the way to the next one."""
-    back, ahead = window, min_words + 2
-
+def _runs(min_words: int):
+    """The hash of every passage of ``min_words`` of each kept anchor, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
-            ids, refs, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            wanted = batch.column(3)
+            ends = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
+            flat = wanted.flatten()
+            groups, places, counts = (flat.field(k) for k in range(3))
+            starts, sizes = places.to_numpy(), counts.to_numpy()
             for a, b in slices(offsets):
                 words, first = word_hashes(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], False)
-                words = (words >> np.uint64(32)).astype(">u4")  # big end first: bytes sort as numbers
-                rows = []
+                parts = []
                 for i in range(b - a):
-                    own = words[first[i]:first[i + 1]]
-                    for x in wanted[a + i]:
-                        p = x["pos"]
-                        rows.append((x["grp"], ids[a + i], refs[a + i], p, own[p:p + ahead].tobytes(), own[max(0, p - back):p][::-1].tobytes()))
-                for at in range(0, len(rows), 20_000):
-                    part = list(zip(*rows[at:at + 20_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(part, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
-                                                     ["grp", "doc", "ref", "pos", "after", "before"])
+                    hashes = shingles(words[first[i]:first[i + 1]], min_words).view(np.int64)
+                    parts += [hashes[starts[k]:starts[k] + sizes[k]] for k in range(ends[a + i], ends[a + i + 1])]
+                row = pa.array(np.repeat(np.arange(a, b), np.diff(ends[a:b + 1])))
+                own = slice(int(ends[a]), int(ends[b]))
+                yield pa.RecordBatch.from_arrays([groups[own], batch.column(0).take(row), batch.column(1).take(row), places[own], long_lists(parts, pa.int64())], ["grp", "doc", "ref", "pos", "runs"])
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words of the longest common beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, "u4", n // 4), np.frombuffer(b, "u4", n // 4)
-    return int((x != y).argmax())
-
-
-def _compare(min_words: int, neighbours: int):
-    """Walk sorted suffixes and match each with the nearest ones above and below it that belong to earlier documents.
-
-    A stack holds the rows above that can still be such a neighbour: a row of an earlier document takes later ones off,
-    and a row equal in context to the one on top isn't put on it. Rows of a group cut by the end of the partition that
-    may have a neighbour beyond it come out as well (``n`` null, contexts kept), to be walked again by themselves.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple] = []
-        first_group, edge, out = None, [], []
-
-        def match(later: tuple, earlier: tuple) -> None:
-            left = _common(later[5], earlier[5])
-            n = left + _common(later[4], earlier[4])
-            if n >= min_words:
-                out.append((*later[1:3], later[3] - left, n, *earlier[1:3], earlier[3] - left))
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                group, own = row[0], row[1:3]
-                if first_group is None:
-                    first_group = group
-                if stack and stack[-1][0] != group:
-                    stack = []
-                while stack and stack[-1][1:3] > own:
-                    match(stack.pop(), row)
-                tried = 0
-                for other in reversed(stack):
-                    if other[1:3] != own:
-                        match(row, other)
-                        tried += 1
-                        if tried == neighbours:
-                            break
-                if not tried and group == first_group:
-                    edge.append(row)
-                if not stack or stack[-1][4:] != row[4:]:
-                    stack.append(row)
-            if len(out) >= 10_000:
-                yield _spans(out, [])
-                out.clear()
-        yield _spans(out, edge + stack)
-    return run
-
-
-def _spans(out: list[tuple], edge: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out)) if out else [[]] * 7
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
-    names = ("doc", "ref", "pos", "n", "other", "other_ref", "other_pos", "grp", "after", "before")
-    spans = [*columns, *[[None] * len(out)] * 3]
-    edges = list(zip(*[(r[1], r[2], r[3], None, None, None, None, r[0], r[4], r[5]) for r in edge])) if edge else [[]] * 10
-    return pa.RecordBatch.from_arrays([pa.array([*s, *e], t) for s, e, t in zip(spans, edges, (*kinds, pa.int64(), pa.binary(), pa.binary()))], list(names))
-
-
-FOUND = SPAN + ", grp long, after binary, before binary"
-
-
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM,
-                      neighbours: int = NEIGHBOURS, partitions: int = 64) -> DataFrame:
+                      partitions: int = 64) -> DataFrame:
     """``doc_id, first_word, n_words, other_doc_id, other_first_word``: maximal passages of ``min_words`` words or more that
-    occur in an earlier document too (order: doc_id, then a hash of the text), with one such document.
+    occur in an earlier document too (order: doc_id, then a hash of the text), with the earliest one that has their beginning.
 
     Words are compared as they are written; white space does not matter. Overlapping and touching matches of a document
     are one passage. Rows equal in doc_id and text are one document; rows without an id, and null and short texts, have
-    no passages; repeats within one document are none. The ends are those of the copies compared; another copy may agree on
-    a word more. Other columns play no part.
+    no passages; repeats within one document are none. Other columns play no part.
 
     Suffixes start at minimiser positions, which depend on content alone, so copies have them at the same words. Those
-    whose next words occur once are dropped before anything else is looked at. The others are sorted over all
-    machines (also inside a hot passage), and each is compared with its neighbours and extended to both sides.
+    whose next words occur in one document are dropped before anything else is looked at. Every passage of ``min_words``
+    belongs to one suffix, the minimiser of its first window, and is linked to the earliest document that has it. The
+    passages of a suffix move together as a block: only the first of equal blocks is taken apart, the others follow it.
     """
     if min_words < window + gram - 1:
         raise ValueError("a passage must hold a whole window")
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), text_key(F.col(doc_id), F.col(text)).alias("ref"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = base.mapInArrow(_anchors(min_words, window, gram), "grp long, doc long, ref long, pos int")
+    anchors = base.mapInArrow(_anchors(min_words, window, gram), "grp long, doc long, ref long, pos int, n int")
     counted = anchors.withColumn("met", (F.min("ref").over(W.partitionBy("grp")) != F.max("ref").over(W.partitionBy("grp"))))
-    kept = counted.where("met").select("grp", "doc", "ref", "pos").distinct()
-    wanted = kept.groupBy(F.col("doc").alias("d"), F.col("ref").alias("r")).agg(F.collect_list(F.struct("grp", "pos")).alias("at"))
+    kept = counted.where("met").select("grp", "doc", "ref", "pos", "n").distinct()
+    wanted = kept.groupBy(F.col("doc").alias("d"), F.col("ref").alias("r")).agg(F.collect_list(F.struct("grp", "pos", "n")).alias("at"))
     joined = base.dropDuplicates(["doc", "ref"]).join(wanted, (F.col("doc") == F.col("d")) & (F.col("ref") == F.col("r"))).select("doc", "ref", "text", "at")
-    contexts = joined.mapInArrow(_contexts(min_words, window), CONTEXT)
-    order = ["grp", "after", "before", "doc", "ref", "pos"]
-    found = cut_lineage(contexts.repartitionByRange(partitions, *order).sortWithinPartitions(*order).mapInArrow(_compare(min_words, neighbours), FOUND))
-    edges = found.where("n is null").select("grp", "doc", "ref", "pos", "after", "before").distinct().repartition(1).sortWithinPartitions(*order)
-    across = edges.mapInArrow(_compare(min_words, neighbours), FOUND)
-    spans = found.unionByName(across).where("n is not null")
+    blocks = cut_lineage(joined.mapInArrow(_runs(min_words), "grp long, doc long, ref long, pos int, runs array<long>").withColumn("block", F.xxhash64("runs")))
+    heads = blocks.groupBy("grp", "block").agg(F.min(F.struct("doc", "ref", "pos")).alias("head"), F.first("runs").alias("runs"))
+    taken = heads.select("grp", "block", "head", F.posexplode("runs").alias("i", "run"))
+    place = F.struct(F.col("head.doc").alias("doc"), F.col("head.ref").alias("ref"), (F.col("head.pos") + F.col("i")).alias("pos"))
+    holders = taken.groupBy("grp", "run").agg(F.min(place).alias("holder"), F.min("head.ref").alias("_a"), F.max("head.ref").alias("_z")).where("_a <> _z").drop("_a", "_z")
+    # of a block the head's document has repeated what a still earlier one holds; later documents have all of it from there or from the head
+    linked = taken.select("grp", "run", "block", "i", F.col("head.ref").alias("own")).join(holders, ["grp", "run"]).where("holder.ref <> own")
+    linked = linked.groupBy("grp", "block").agg(F.min(F.struct("i", "holder")).alias("held_from"), F.max("i").alias("held_to"))
+    later = F.struct("doc", "ref") > F.struct("head.doc", "head.ref")
+    whole_from = F.when(F.col("held_from.i") == 0, F.col("held_from")).otherwise(F.struct(F.lit(0).alias("i"), F.col("head").alias("holder")))
+    known = heads.select("grp", "block", "head", (F.size("runs") - 1).alias("whole_to")).join(linked, ["grp", "block"], "left")
+    covered = blocks.select("grp", "block", "doc", "ref", "pos").join(known, ["grp", "block"]).select(
+        "doc", "ref", "pos", F.when(later, whole_from).otherwise(F.col("held_from")).alias("a"), F.when(later, F.col("whole_to")).otherwise(F.col("held_to")).alias("z")).where("a is not null")
+    # passages of one suffix begin within a window of each other and so overlap
+    spans = covered.select("doc", "ref", (F.col("pos") + F.col("a.i")).alias("pos"), (F.col("z") - F.col("a.i") + min_words).alias("n"), F.col("a.holder.doc").alias("other"), F.col("a.holder.pos").alias("other_pos"))
     # passages: spans of a document that overlap or touch
+    spans = spans.repartition(partitions, "doc", "ref")
     upto = W.partitionBy("doc", "ref").orderBy("pos", "n")
     starts = F.coalesce(F.col("pos") > F.max(F.col("pos") + F.col("n")).over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     numbered = spans.withColumn("_new", starts.cast("int")).withColumn("_g", F.sum("_new").over(upto.rowsBetween(W.unboundedPreceding, 0)))

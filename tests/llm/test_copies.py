@@ -1,6 +1,7 @@
 """Deduplication, links and passages against brute force."""
 
 import hashlib
+import random
 from itertools import combinations
 
 import numpy as np
@@ -166,6 +167,32 @@ def test_passages_against_brute_force(spark, partitions):
     assert sum(len(want[i]) for i in want) > 3000
 
 
+def exact_passages(spark, rows):
+    """The words found by the operator; each passage is one unbroken stretch and its beginning is in the other document."""
+    found, words = {i: set() for i, _ in rows}, {i: t.split() for i, t in rows}
+    for r in repeats.repeated_passages(documents(spark, rows)).collect():
+        own = set(range(r["first_word"], r["first_word"] + r["n_words"]))
+        assert not found[r["doc_id"]] & own and r["other_doc_id"] < r["doc_id"]
+        a, b, least = r["first_word"], r["other_first_word"], repeats.MIN_WORDS
+        assert words[r["doc_id"]][a:a + least] == words[r["other_doc_id"]][b:b + least]
+        found[r["doc_id"]] |= own
+    return found
+
+
+def test_passages_before_a_hot_phrase(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows = []
+    for _ in range(6):
+        hot, shared = fresh(40), [fresh(10) for _ in range(10)] * 2 + [[]] * 80
+        rng.shuffle(shared)
+        rows += [(len(rows) + i, " ".join(fresh(30) + before + hot + fresh(30))) for i, before in enumerate(shared)]
+    want = brute_passages(rows, repeats.MIN_WORDS)
+    assert sum(map(bool, want.values())) == 60 and exact_passages(spark, rows) == want
+    copies = copied_documents(seed=4, n=80)
+    assert exact_passages(spark, copies) == brute_passages(copies, repeats.MIN_WORDS)
+
+
 def test_passages_are_cut_and_odd_rows(spark):
     words = [f"w{i}" for i in range(70)]
     docs = documents(spark, [(1, "start " + " ".join(words) + " end"), (2, "other " + " ".join(words) + " last"), (3, " ".join(words[:45])), (4, None), (None, " ".join(words))])
