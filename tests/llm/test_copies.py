@@ -193,6 +193,18 @@ def test_passages_before_a_hot_phrase(spark):
     assert exact_passages(spark, copies) == brute_passages(copies, repeats.MIN_WORDS)
 
 
+def test_both_places_of_a_section_that_an_earlier_document_has_in_part(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        section, part = fresh(200), 60
+        rows.append((10 * k + 3, " ".join(fresh(30) + section[60:60 + part] + [f"z{k}"] + fresh(30))))
+        rows.append((10 * k + 5, " ".join(fresh(30) + section + fresh(40) + section + fresh(30))))
+    want = brute_passages(rows, repeats.MIN_WORDS)
+    assert sum(map(len, want.values())) == 12 * 2 * 60 and exact_passages(spark, rows) == want
+
+
 def test_passages_are_cut_and_odd_rows(spark):
     words = [f"w{i}" for i in range(70)]
     docs = documents(spark, [(1, "start " + " ".join(words) + " end"), (2, "other " + " ".join(words) + " last"), (3, " ".join(words[:45])), (4, None), (None, " ".join(words))])
