@@ -127,6 +127,13 @@ def test_lines_of_the_given_table(spark):
     assert sorted((r["doc_id"], r["text_sha256"], r["n_removed"]) for r in QUERIES["op2_line_dedup"](spark, PATH).collect()) == want
 
 
+def test_short_lines_that_repeat_are_deleted(spark):
+    docs = documents(spark, [(1, "MIT License.\nfirst text\n\t\n\r"), (2, "second text\nMIT License.\n\t\n\r\n"), (3, "}\nMIT License.\n}"), (4, "third text")])
+    cut, _, removed = line_dedup.dedup_lines(docs)
+    got = sorted((r["doc_id"], r["text"], r[removed]) for r in cut.collect())
+    assert got == [(1, "MIT License.\nfirst text\n\t\n\r", 0), (2, "second text\n\t\n\r\n", 1), (3, "}", 2), (4, "third text", 0)]
+
+
 def test_runs_and_odd_lines(spark):
     docs = documents(spark, [(1, "a b c\nd e f\n\ng"), (2, "x\na b c\nd e f\ny"), (2, "x\na b c\nd e f\ny"), (None, "d e f\ng h"), (3, None), (4, ""), (5, "a b c\nd e f")])
     runs = line_dedup.line_runs(line_dedup.later_copies(docs, min_chars=10)).collect()
