@@ -16,10 +16,14 @@ from labelwright.sources import sinks
 from labelwright.streaming import jobs
 
 
+#: So many files at most are one trigger; results do not depend on it.
+FILES_PER_TRIGGER = 64
+
+
 def replay(t, name: str) -> DataFrame:
     """A given table, one file or a folder of part files, as a file stream; a pattern may match either."""
     schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{t.path}/{name}.parque[t]")
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER).parquet(f"{t.path}/{name}.parque[t]")
 
 
 def _events(t):
@@ -39,7 +43,7 @@ def _(t):
 @query("x2_dedupe_submissions", "select user_id || ':' || event_type || ':' || floor(value)::bigint as idempotency_key from events group by 1")
 def _(t):
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.floor("value").cast("string"))
-    stream = jobs.stream_dedupe_submissions(_events(t).select("ts", key.alias("idempotency_key")), "idempotency_key", "ts")
+    stream = jobs.stream_dedupe_submissions(_events(t).select(key.alias("idempotency_key")), "idempotency_key")
     out = jobs.run_to_parquet(stream, jobs.new_folder(t.spark, "dedupe"))
     return jobs.read_output(t.spark, out).select("idempotency_key")
 

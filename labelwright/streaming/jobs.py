@@ -43,39 +43,53 @@ def stream_evaluate(stream: DataFrame, folder: str, evaluate: Callable[[DataFram
     return run_to_parquet(stream, folder, evaluate)
 
 
-def stream_dedupe_submissions(stream: DataFrame, key: str, ts: str, delay: str = "1 day") -> DataFrame:
-    """Drop repeated submissions of a key while its first one is within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def stream_dedupe_submissions(stream: DataFrame, key: str) -> DataFrame:
+    """Drop repeated submissions of a key, however late they come: the keys seen are kept for good."""
+    return stream.dropDuplicates([key])
 
 
 def stream_review_state(stream: DataFrame) -> DataFrame:
     """Review status per revision from ``(revision_id, kind, ts, event_id)`` with kind submit, view or decide.
 
     Viewing moves only a pending item; deciding again is allowed; a decided item reopens only by a submission.
-    What is kept per revision is its status and the number of decisions.
+    The order is by ``ts, event_id`` (nulls last), whatever trigger an action arrives in. What is kept per revision is what
+    late actions can still change: the first submission, the decisions before it, the number of those after it and the last one,
+    the submissions behind that, and the last view.
     """
     import pandas as pd
 
     def advance(key, batches, state):
-        status, decisions = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["kind"]:
-            if kind == "submit" and status in (None, "DECISION_RECORDED"):
-                status = "PENDING_OFFICIAL_REVIEW"
-            elif kind == "view" and status == "PENDING_OFFICIAL_REVIEW":
-                status = "UNDER_OFFICIAL_REVIEW"
-            elif kind == "decide" and status is not None:
-                status, decisions = "DECISION_RECORDED", decisions + 1
-        state.update((status, decisions))
+        submits, decides, counted, viewed = state.get if state.exists else ([], [], 0, [])
+        submits, decides, viewed = ([tuple(x) for x in kept] for kept in (submits, decides, viewed))
+        for rows in batches:
+            for kind, at, event in zip(rows["kind"], rows["at"], rows["event"]):
+                {"submit": submits, "decide": decides, "view": viewed}[kind].append((int(at), int(event)))
+        status, viewed = None, [max(viewed)] if viewed else []
+        if submits:
+            first, last = min(submits), max(decides, default=(0, 0))
+            later = [x for x in decides if x > first]
+            # the last decision stays among the kept ones and is counted when another one takes its place
+            counted += max(0, len(later) - 1)
+            behind = [x for x in submits if x > last] if later else [first]
+            decides = [x for x in decides if x < first] + ([last] if later else [])
+            status = "DECISION_RECORDED" if not behind else "UNDER_OFFICIAL_REVIEW" if viewed and viewed[0] > min(behind) else "PENDING_OFFICIAL_REVIEW"
+            submits = sorted({first, *(x for x in submits if not later or x > last)})
+            decisions = counted + bool(later)
+        else:
+            decisions = 0
+        state.update(([list(x) for x in submits], [list(x) for x in decides], counted, [list(x) for x in viewed]))
         yield pd.DataFrame({"revision_id": [key[0]], "status": [status], "decisions": [decisions]})
 
-    return stream.groupBy("revision_id").applyInPandasWithState(
-        advance, "revision_id long, status string, decisions long", "status string, decisions long", "update", GroupStateTimeout.NoTimeout)
+    never = F.lit(2 ** 63 - 1)
+    placed = stream.where("kind in ('submit', 'view', 'decide')").select("revision_id", "kind", F.coalesce(F.unix_micros("ts"), never).alias("at"), F.coalesce(F.col("event_id").cast("long"), never).alias("event"))
+    return placed.groupBy("revision_id").applyInPandasWithState(
+        advance, "revision_id long, status string, decisions long", "submits array<array<long>>, decides array<array<long>>, counted long, viewed array<array<long>>", "update",
+        GroupStateTimeout.NoTimeout)
 
 
-def stream_status_counts(stream: DataFrame, ts: str, bucket: str, delay: str = "1 day") -> DataFrame:
-    """Rows per day and bucket; late rows within the watermark still count."""
-    return (stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day").alias("w"), bucket).agg(F.count("*").alias("n"))
+def stream_status_counts(stream: DataFrame, ts: str, bucket: str) -> DataFrame:
+    """Rows per day and bucket; late rows count too: the counts of all days are kept."""
+    return (stream.groupBy(F.window(ts, "1 day").alias("w"), bucket).agg(F.count("*").alias("n"))
             .select(F.to_date(F.col("w.start")).alias("day"), bucket, "n"))
 
 
