@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelwright.llm import bpe, fingerprints, language, line_dedup, mixing, quality, repeats, shingle_join, topk, url_filter
+from labelwright.llm import bpe, conversations, fingerprints, language, lattice_dedup, line_dedup, mixing, quality, repeats, shingle_join, topk, url_filter, vector_codes
 from labelwright.llm.common import remainder, table
 from labelwright.session import cut_lineage
 
@@ -74,5 +74,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.audit_conversations(damaged, present=F.col("present"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.code_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    rows = cut_lineage(coded.rows)
+    out = vector_codes.with_group_total(rows, "label", coded.error, "label_error")
+    return out.select("vec_id", F.lower(F.hex(coded.code)).alias("code"), F.col(coded.error).alias("error"), "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
+def op13_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_dedup, op3_quality, op4_repeated_passages, op5_language, op6_mix_sources, op7_shingle_join, op8_top_k,
-                                   op9_fingerprints, op10_url_filter)}
+                                   op9_fingerprints, op10_url_filter, op11_repair_conversations, op12_vector_codes, op13_lattice_dedup)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelwright.llm import mixing, url_filter
+from labelwright.llm import mixing, url_filter, vector_codes
 
 
 def _word(term: str) -> str:
@@ -51,4 +51,69 @@ scored as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transf
     from points q join points c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 5"""
 
-ORACLES = {"op6_mix_sources": MIX, "op8_top_k": KTOP, "op10_url_filter": url_sql()}
+def _then(state: str, cost: str, letter: str) -> str:
+    """A state is its cost in twelve digits and its edits so far, so that the least text is the cheapest, then the ASCII-least."""
+    return f"lpad((left({state}, 12)::bigint + {cost})::varchar, 12, '0') || substr({state}, 13) || '{letter}'"
+
+
+def repair_sql() -> str:
+    insert = lambda x: _then(x, "2", "I")
+    relaxed = f"select cid, i, s0, s1, n2, least(s3, {insert('n2')}) as n3 from (select *, least(s2, {insert('s0')}, {insert('s1')}, {insert('s3')}) as n2 from {{0}})"
+    drop = lambda x: _then(x, "3", "D")
+    user, other = (f"case when r.initial = '{c}' then " for c in "ua")
+    put = lambda head, x: f"{head} {_then(x, 'r.cut', 'K')} else {_then(x, '2 + r.cut', 'R')} end"
+    may = lambda x: f"case when not r.forced then {x} end"
+    return rf"""
+with recursive crcs as (select list_transform(range(256), lambda i: list_reduce([i::bigint] || list_transform(range(8), lambda k: 0::bigint), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) as t),
+given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+hashed as (select *, xor(list_reduce([4294967295::bigint] || list_transform(string_split(name, ''), lambda c: ascii(c)::bigint), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 as hit from given, crcs),
+damaged as (select coalesce('=' || conv_id::varchar, '') as cid, conv_id, turn, case when hit = 4 then 'user' else role end as role,
+    case hit when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, hit, unnest(case when hit = 3 then [1, 2] else [1] end) as copy from hashed),
+rows_ as (select *, row_number() over (partition by cid order by turn nulls first, role, md5(text), copy) as place, left(role, 1) as initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as ended,
+    row_number() over (partition by cid, role, text order by turn nulls first, copy) as time from damaged where hit <> 0),
+faults as (select *, ended = '' as blank, ended <> '' and time > 1 as duplicate, ended <> '' and time = 1 and right(ended, 1) not in ('.', '!', '?') as truncated,
+    lag(initial) over (partition by cid order by place) || initial not in ('su', 'ua', 'au') as illegal from rows_),
+r as (select *, blank or duplicate as forced, truncated::int as cut from faults),
+convs as (select cid, any_value(conv_id) as conv_id from damaged group by cid),
+counts as (select cid, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate, count(*) filter (truncated) as truncated,
+    count(*) filter (illegal) as illegal, count(*) as n from r group by cid),
+states(cid, i, s0, s1, s2, s3) as (select cid, 0::bigint, '000000000000', null::varchar, null::varchar, null::varchar from convs
+    union all select x.cid, x.i + 1, {drop("x.s0")}, least({drop("x.s1")}, case when not r.forced and r.initial = 's' then {_then("x.s0", "r.cut", "K")} end),
+        least({drop("x.n2")}, {", ".join(may(put(user, x)) for x in ("x.s0", "x.s1", "x.n3"))}), least({drop("x.n3")}, {may(put(other, "x.n2"))})
+    from ({relaxed.format("states")}) x join r on r.cid = x.cid and r.place = x.i + 1),
+ended as (select cid, least(s0, n3) as best from ({relaxed.format("states")}) x left join counts using (cid) where i = coalesce(n, 0)),
+audits as (select cid, left(best, 12)::bigint as cost, substr(best, 13) as audit from ended),
+letters as (select cid, audit[k] as letter, len(replace(left(audit, k), 'I', '')) as place, len(replace(left(audit, k), 'D', '')) as turn_no from (select cid, audit, unnest(range(1, len(audit) + 1)) as k from audits)),
+said as (select l.cid, l.turn_no, l.letter, r.role, r.text, max((l.letter = 'K' and r.initial = 's')::int) over (partition by l.cid) as headed from letters l left join r on r.cid = l.cid and r.place = l.place and l.letter <> 'I'
+    where l.letter <> 'D'),
+repaired as (select cid, string_agg(case when letter = 'K' then role when (turn_no - headed) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by turn_no) as whole from said group by cid)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+    cost, audit, sha256(coalesce(whole, '')) as repaired_sha256
+from convs join audits using (cid) left join counts using (cid) left join repaired using (cid)"""
+
+
+def codes_sql() -> str:
+    n = vector_codes.PARTS
+    apart = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    rounds = ""
+    for k in range(vector_codes.ROUNDS + 1):
+        rounds += f"""
+at{k} as materialized (select rid, p, min({{d: d, e: e}}) as best from (select a.rid, a.p, b.e, {apart} as d from cut a join book{k} b on a.p = b.p) group by rid, p),"""
+        if k < vector_codes.ROUNDS:
+            rounds += f"""
+sums{k} as (select p, e, i, sum(v)::bigint as total, count(*) as n from (select a.p, t.best.e as e, unnest(a.x) as v, unnest(range(len(a.x))) as i from cut a join at{k} t on a.rid = t.rid and a.p = t.p) group by p, e, i),
+moved{k} as (select p, e, list((total - ((total % n) + n) % n) // n order by i) as x from sums{k} group by p, e),
+book{k + 1} as materialized (select b.p, b.e, coalesce(m.x, b.x) as x from book{k} b left join moved{k} m on b.p = m.p and b.e = m.e),"""
+    last = vector_codes.ROUNDS
+    return f"""
+with whole as (select row_number() over () as rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cut as materialized (select rid, p, v[p * (len(v) // {n}) + 1 : (p + 1) * (len(v) // {n})] as x from (select rid, v, unnest(range({n})) as p from whole)),
+first as (select rid, row_number() over (order by vec_id) - 1 as e from (select vec_id, min({{v: v, rid: rid}}).rid as rid from whole where vec_id is not null group by vec_id order by vec_id limit {vector_codes.ENTRIES})),
+book0 as materialized (select p, e, x from cut join first using (rid)),{rounds}
+coded as (select rid, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error from at{last} group by rid),
+digest as (select sha256(string_agg(v::varchar, ',' order by p, e, i)) as codebooks_sha256 from (select p, e, unnest(x) as v, unnest(range(len(x))) as i from book{last}))
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from whole join coded using (rid), digest"""
+
+
+ORACLES = {"op6_mix_sources": MIX, "op8_top_k": KTOP, "op10_url_filter": url_sql(), "op11_repair_conversations": repair_sql(), "op12_vector_codes": codes_sql()}
