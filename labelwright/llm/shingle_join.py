@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import fresh, shingle_sets
+from labelwright.llm.common import fresh, shingle_sets, text_key
 from labelwright.llm.components import components
 from labelwright.session import cut_lineage
 
@@ -21,13 +21,19 @@ CELLS = 1 << 20
 _PART = 1 << 16
 BLOCK_DOCS = 1024
 MU = 0.0085
-SIGNED = "doc_id long, n int, s1 long, s2 long, sketch binary, part int, counts binary"
+SIGNED = "doc_id long, key long, n int, s1 long, s2 long, sketch binary, part int, counts binary"
+
+SIGNED_NAMES = ["doc_id", "key", "n", "s1", "s2", "sketch", "part", "counts"]
 
 
 def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
+def _digest(own: np.ndarray) -> int:
+    return xxhash.xxh3_128_intdigest(own.tobytes())
+
+
 def sketch(own: np.ndarray) -> bytes:
     """How many shingles fall into each of 256 cells: two sets have no more in common than the sum of the smaller counts.
     Empty if a count does not fit a byte; such a set is never ruled out."""
@@ -39,26 +45,26 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = np.zeros(CELLS, np.uint32), []
         for batch in batches:
-            ids, n, s1, s2, sketches = batch.column(0), [], [], [], []
-            for own in shingle_sets(batch.column(1), width):
+            n, s1, s2, sketches = [], [], [], []
+            for own in shingle_sets(batch.column(2), width):
                 held.append(_cell(own))
                 if len(held) >= 1000 or len(own) > CELLS:
                     seen += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                     held = []
-                digest = xxhash.xxh3_128_intdigest(own.tobytes())
+                digest = _digest(own)
                 n.append(len(own))
                 sketches.append(sketch(own))
                 s1.append(digest >> 64)
                 s2.append(digest & (1 << 64) - 1)
-            none = pa.nulls(len(ids), pa.int32())
+            none = pa.nulls(len(n), pa.int32())
             signs = [pa.array(np.array(s, np.uint64).view(np.int64)) for s in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), *signs, pa.array(sketches, pa.binary()), none, pa.nulls(len(ids), pa.binary())], ["doc_id", "n", "s1", "s2", "sketch", "part", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), *signs, pa.array(sketches, pa.binary()), none, pa.nulls(len(n), pa.binary())], SIGNED_NAMES)
         if held:
             seen += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         parts = [p for p in range(CELLS // _PART) if seen[p * _PART:(p + 1) * _PART].any()]
         packed = [zlib.compress(seen[p * _PART:(p + 1) * _PART].tobytes(), 1) for p in parts]
-        blank = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*blank, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "s1", "s2", "sketch", "part", "counts"])
+        blank = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], SIGNED_NAMES)
     return run
 
 
@@ -86,12 +92,12 @@ def _short_lists(width: int, percent: int, seen):
         order = seen.value
         for batch in batches:
             tokens, sizes, marks = [], [], []
-            for own in shingle_sets(batch.column(1), width):
+            for own in shingle_sets(batch.column(2), width):
                 keep = len(own) + (-percent * len(own)) // 100 + 1 if len(own) else 0
                 rare = own[np.lexsort((own, order[_cell(own)]))[:keep]] if len(own) else own
                 tokens.append(rare)
                 sizes.append(len(own))
-                marks.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                marks.append(_digest(own) >> 64)
             times = [len(t) for t in tokens]
             column = lambda values, kind: np.repeat(np.array(values, kind), times)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -175,18 +181,21 @@ def _rule_out(percent: int):
 
 def _link_block(percent: int):
     def run(block: pa.Table) -> pa.Table:
-        ids = block.column("id").to_pylist()
-        sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
-        links = divide_skip(sets, percent)
+        held = dict(zip(block.column("id").to_pylist(), block.column("shingles").to_pylist()))
+        ids = list(held)
+        links = divide_skip([np.frombuffer(held[i], np.uint64) for i in ids], percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
     return run
 
 
 def _sets(width: int):
+    """The shingle set of each class in each of its blocks, from the texts of its document that have this very set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [own.tobytes() for own in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.binary())], ["id", "block", "shingles"])
+            wanted = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
+            sets = [own.tobytes() if _digest(own) >> 64 == s else None for own, s in zip(shingle_sets(batch.column(2), width), wanted)]
+            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "block", "shingles"])
+            yield found.filter(found.column(2).is_valid())
     return run
 
 
@@ -207,60 +216,79 @@ def _blocks(nodes: DataFrame, percent: int, block_docs: int) -> DataFrame:
     return small.unionByName(cut.join(sides, ["component", "cut"]).select("node", "block"))
 
 
-def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row: the smallest doc_id that links reach.
+def _base(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(doc_id), F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    Two documents are linked when the Jaccard similarity of their sets of distinct ``width``-word shingles (A-Z
-    lower-cased) is ``percent`` or more. A text of fewer words is one shingle; one without words, or null, has none and
-    is linked with nothing. Rows of one doc_id are linked through it. A null doc_id has a null component and links
-    nothing. An empty table gives an empty result; other columns play no part.
 
-    1. Equal sets are one class with its smallest id. 2. The rarest n - T + 1 shingles of each set are its short lists;
-    any two sets that can link share one. 3. In a list ordered by size, neighbours whose sizes can match are chained;
-    chained documents form groups that contain every link. 4. Within a group, in blocks of bounded size, sketches rule
-    out documents that can't link. 5. Blocks of the others are searched exactly; only for them are full sets made.
-    """
+def _classes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, block_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(doc_id, key, n, class)``, classes ``(class, rep, rep_key)`` with the first row of each, and links ``(a, b)``
+    of classes that reach what all links do. A class is the rows of one shingle set; a row without words or id has none."""
     spark = docs.sparkSession
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = _base(docs, doc_id, text)
     signed = cut_lineage(base.mapInArrow(_sign(width), SIGNED))
-    rows = signed.where("part is null").select("doc_id", "n", "s1", "s2", "sketch")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    copies = rows.join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    copies = cut_lineage(copies)
+    rows = signed.where("part is null").select("doc_id", "key", "n", "s1", "s2", "sketch")
+    own = rows.where("n > 0 and doc_id is not null")
+    first = F.min(F.struct("doc_id", "key"))
+    classes = own.groupBy("n", "s1", "s2").agg(first.alias("rep"), F.max("sketch").alias("sketch"))
+    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("class"), "n", "s1", "s2", "sketch", F.col("rep.doc_id").alias("rep"), F.col("rep.key").alias("rep_key")))
+    held = rows.join(classes.select("n", "s1", "s2", "class"), ["n", "s1", "s2"], "left")
+    held = cut_lineage(held.select("doc_id", "key", "n", "s1", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class")))
     seen = spark.sparkContext.broadcast(_ranks(signed))
     short = base.where("doc_id is not null").mapInArrow(_short_lists(width, percent, seen), "token long, id long, n int, mark long")
     by_size = W.partitionBy("token").orderBy("n", "mark", "id")
     before = F.lag(F.struct("n", "mark", "id")).over(by_size)
     chained = short.withColumn("p", before).where((F.col("p.mark") != F.col("mark")) & (F.lit(100) * F.col("p.n") >= F.lit(percent) * F.col("n")))
-    edges = cut_lineage(chained.select(F.col("p.id").alias("a"), F.col("id").alias("b")).distinct())
-    # from a copy to its class, at both ends
-    moved = edges
+    edges = cut_lineage(chained.select(F.col("p.id").alias("a_id"), F.col("p.mark").alias("a_mark"), F.col("id").alias("b_id"), F.col("mark").alias("b_mark")).distinct())
+    known = held.where("class is not null").select("doc_id", "s1", "class").distinct()
     for end in ("a", "b"):
-        to = copies.groupBy(F.col("a").alias(end)).agg(F.min("b").alias("rep"))
-        moved = moved.join(to, end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-    groups = components(moved.select("a", "b"))
-    several = rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), (F.min("s1") == F.max("s1")).alias("one"))
-    # an id with several texts is never ruled out
-    sizes = several.select("doc_id", "n", F.when(F.col("one"), F.col("sketch")).otherwise(F.lit(b"")).alias("sketch"))
-    grouped = cut_lineage(groups.join(sizes, groups.node == sizes.doc_id).select("node", "component", "n", "sketch"))
+        edges = edges.join(known.select(F.col("doc_id").alias(f"{end}_id"), F.col("s1").alias(f"{end}_mark"), F.col("class").alias(end)), [f"{end}_id", f"{end}_mark"])
+    groups = components(edges.select("a", "b"))
+    grouped = cut_lineage(groups.join(classes.select("class", "n", "sketch"), F.col("node") == F.col("class")).select("node", "component", "n", "sketch"))
     drawn = grouped.join(_blocks(grouped.select("node", "component", "n"), percent, block_docs).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
     likely = drawn.select("block", "node", "component", "n", "sketch").groupBy("block").applyInArrow(_rule_out(percent), "node long, component long, n int")
     nodes = cut_lineage(likely.distinct())
-    blocks = _blocks(nodes, percent, block_docs)
-    met = base.join(blocks, base.doc_id == blocks.node).select("doc_id", "text", "block")
+    blocks = _blocks(nodes, percent, block_docs).join(classes.select(F.col("class").alias("node"), "rep", "s1"), "node")
+    met = base.join(blocks, base.doc_id == blocks.rep).select("node", "block", "text", "s1")
     found = met.mapInArrow(_sets(width), "id long, block string, shingles binary").groupBy("block").applyInArrow(_link_block(percent), "a long, b long")
-    linked = components(found.unionByName(copies))
+    return held, classes.select("class", "rep", "rep_key"), cut_lineage(found)
+
+
+def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row: the smallest doc_id that links reach.
+
+    Two documents are linked when the Jaccard similarity of their sets of distinct ``width``-word shingles (A-Z
+    lower-cased) is ``percent`` or more. A text of fewer words is one shingle; one without words, or null, has none and
+    is linked with nothing. Rows of one doc_id are linked through it. A null doc_id has a null component and links
+    nothing. An empty table gives an empty result; other columns play no part.
+
+    1. Rows of equal sets are one class. 2. The rarest n - T + 1 shingles of each set are its short lists; any two sets
+    that can link share one. 3. In a list ordered by size, neighbours whose sizes can match are chained; chained classes
+    form groups that contain every link. 4. Within a group, in blocks of bounded size, sketches rule out classes that
+    can't link. 5. Blocks of the others are searched exactly; only for them are full sets made.
+    """
+    rows, classes, found = _classes(docs, doc_id, text, width, percent, block_docs)
+    rep = lambda end: classes.select(F.col("class").alias(end), F.col("rep").alias(f"{end}_rep"))
+    links = found.join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+    copies = rows.join(classes, "class").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linked = components(links.unionByName(copies))
     return rows.join(linked, rows.doc_id == linked.node, "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, links: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of every component, in one row. Rows whose id is null or links
-    nothing (no words) stay as they are; of several rows of an id the last by text stays."""
-    key, n, c, place, apart = (fresh(docs, x) for x in ("kept_id", "kept_n", "kept_component", "kept_row", "kept_apart"))
-    kept = links.groupBy(F.col("doc_id").alias(key)).agg(F.max("n_shingles").alias(n), F.min("component_id").alias(c))
-    joined = docs.join(kept, F.col(doc_id) == F.col(key), "left")
-    bare = F.coalesce(F.col(n), F.lit(0)) == 0
-    joined = joined.where(bare | (F.col(c) == F.col(doc_id))).withColumn(apart, F.when(bare, F.xxhash64(F.col(text))))
-    first = F.row_number().over(W.partitionBy(F.col(doc_id), apart).orderBy(F.col(text).desc_nulls_last()))
-    return joined.withColumn(place, first).where(bare | (F.col(place) == 1)).select(*[F.col(f"`{x}`") for x in docs.columns])
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of texts that links reach the one of the smallest id (of several
+    under that id the one with the smallest key), in one row. Rows whose id is null and texts without words stay as they
+    are. Unlike texts under one id are documents of their own and both stay."""
+    rows, classes, found = _classes(docs, doc_id, text, width, percent, block_docs)
+    linked = components(found)
+    grouped = classes.join(linked, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("component", "class"))
+    kept = grouped.groupBy("group").agg(F.min(F.struct("rep", "rep_key")).alias("k"))
+    bare = rows.where("class is null").select("doc_id", "key").distinct().withColumn("one", F.lit(False))
+    stay = kept.select(F.col("k.rep").alias("doc_id"), F.col("k.rep_key").alias("key"), F.lit(True).alias("one")).unionByName(bare)
+    i, k, one, place = (fresh(docs, x) for x in ("kept_id", "kept_key", "kept_one", "kept_row"))
+    stay = stay.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("one").alias(one))
+    joined = docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (text_key(F.col(doc_id), F.col(text)) == F.col(k)))
+    first = F.row_number().over(W.partitionBy(i, k).orderBy(F.col(text)))
+    single = joined.where(F.col(one)).withColumn(place, first).where(F.col(place) == 1)
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    return single.select(*columns).unionByName(joined.where(~F.col(one)).select(*columns))

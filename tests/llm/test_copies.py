@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from labelwright.llm import fingerprints, line_dedup, repeats, shingle_join
@@ -76,9 +77,18 @@ def test_links_of_odd_rows(spark):
     assert by_id[7] == [(3, 5)] and sorted(by_id[5]) == [(3, 5), (3, 5), (8, 5)] and by_id[8] == [(1, 8)]
     assert sorted(by_id[None]) == [(0, None), (5, None)]
     assert shingle_join.link_documents(no_documents(spark)).count() == 0
-    kept = shingle_join.keep_one_of_each(odd_documents(spark), shingle_join.link_documents(odd_documents(spark)))
+    kept = shingle_join.keep_one_of_each(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 6, 8, 9]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 5, 6, 8, 9]  # id 5 has two unlike texts
+
+
+def test_links_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (5, a), (2, b), (5, b), (9, b + " more"), (7, a), (7, "some other words of no copy at all")]
+    got = shingle_join.link_documents(documents(spark, rows))
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, 1) for i in (1, 2, 5, 7, 9)}
+    kept = shingle_join.keep_one_of_each(documents(spark, rows + rows))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted([rows[0], rows[2], rows[6]])
 
 
 def test_components_of_a_chain(spark):
@@ -95,7 +105,11 @@ def test_shingles_ignore_ascii_case_only(spark):
 
 # ---- lines
 
-def brute_lines(rows, min_chars):
+def letters(x):
+    return max(1, len(regex.sub(r"[^\p{L}\p{N}]+", "", x)))
+
+
+def brute_lines(rows, min_letters):
     """Delete every line of a run that also begins earlier, whatever its length."""
     ordered = sorted(rows)
     lines = {i: [(j, x) for j, x in enumerate(t.split("\n")) if x.strip(" ")] for i, t in ordered}
@@ -107,23 +121,23 @@ def brute_lines(rows, min_chars):
         for n in range(p, len(lines[i])):
             run.append(lines[i][n][1])
             key = tuple(run)
-            if first.setdefault(key, (i, p)) < (i, p) and sum(map(len, run)) >= min_chars:
+            if first.setdefault(key, (i, p)) < (i, p) and sum(map(letters, run)) >= min_letters:
                 gone[i].update(lines[i][m][0] for m in range(p, n + 1))
     return sorted((i, "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]), len(gone[i])) for i, t in ordered)
 
 
-@pytest.mark.parametrize("min_chars", [1, 40, 120])
-def test_lines_against_brute_force(spark, min_chars):
+@pytest.mark.parametrize("min_letters", [1, 8, 40, 120])
+def test_lines_against_brute_force(spark, min_letters):
     rows = copied_documents(seed=9, n=40)
     rows.append((500, "ab\ncd\nab\ncd\nab\n\nab\nab\ncd\n" * 4))
     rows.append((501, "x\n" * 70))
-    cut, _, removed = line_dedup.dedup_lines(documents(spark, rows), min_chars=min_chars)
-    assert sorted((r["doc_id"], r["text"], r[removed]) for r in cut.collect()) == brute_lines(rows, min_chars)
+    cut, _, removed = line_dedup.dedup_lines(documents(spark, rows), min_letters=min_letters)
+    assert sorted((r["doc_id"], r["text"], r[removed]) for r in cut.collect()) == brute_lines(rows, min_letters)
 
 
 def test_lines_of_the_given_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
-    want = [(i, hashlib.sha256(t.encode()).hexdigest(), n) for i, t, n in brute_lines(rows, line_dedup.MIN_CHARS)]
+    want = [(i, hashlib.sha256(t.encode()).hexdigest(), n) for i, t, n in brute_lines(rows, line_dedup.MIN_LETTERS)]
     assert sorted((r["doc_id"], r["text_sha256"], r["n_removed"]) for r in QUERIES["op2_line_dedup"](spark, PATH).collect()) == want
 
 
@@ -131,14 +145,25 @@ def test_short_lines_that_repeat_are_deleted(spark):
     docs = documents(spark, [(1, "MIT License.\nfirst text\n\t\n\r"), (2, "second text\nMIT License.\n\t\n\r\n"), (3, "}\nMIT License.\n}"), (4, "third text")])
     cut, _, removed = line_dedup.dedup_lines(docs)
     got = sorted((r["doc_id"], r["text"], r[removed]) for r in cut.collect())
-    assert got == [(1, "MIT License.\nfirst text\n\t\n\r", 0), (2, "second text\n\t\n\r\n", 1), (3, "}", 2), (4, "third text", 0)]
+    assert got == [(1, "MIT License.\nfirst text\n\t\n\r", 0), (2, "second text\n\t\n\r\n", 1), (3, "}\n}", 1), (4, "third text", 0)]
+
+
+def test_structure_stays_and_runs_of_short_lines_go(spark):
+    table = "|---|---|"
+    verse = ["a b", "}", "c", "{", "d e", "f"]
+    docs = documents(spark, [(1, "\n".join(["h 1", table, *verse])), (2, "\n".join(["h 2", table, "1", *verse, "}"])), (3, "\n".join([*verse[:4], table]))])
+    array, longest = line_dedup.suffix_array(docs)
+    assert longest > 4 and {"r0", "r1", "r2"} <= set(array.columns)  # three rounds of doubling
+    cut, _, removed = line_dedup.dedup_lines(docs)
+    got = sorted((r["doc_id"], r["text"], r[removed]) for r in cut.collect())
+    assert got == [(1, "\n".join(["h 1", table, *verse]), 0), (2, f"h 2\n{table}\n1\n}}", 6), (3, "\n".join([*verse[:4], table]), 0)]
 
 
 def test_runs_and_odd_lines(spark):
     docs = documents(spark, [(1, "a b c\nd e f\n\ng"), (2, "x\na b c\nd e f\ny"), (2, "x\na b c\nd e f\ny"), (None, "d e f\ng h"), (3, None), (4, ""), (5, "a b c\nd e f")])
-    runs = line_dedup.line_runs(line_dedup.later_copies(docs, min_chars=10)).collect()
+    runs = line_dedup.line_runs(line_dedup.later_copies(docs, min_letters=6)).collect()
     assert sorted((r["doc"], r["first_line"], r["n_lines"]) for r in runs) == [(2, 1, 2), (5, 0, 2)]
-    cut, n_lines, removed = line_dedup.dedup_lines(docs, min_chars=10)
+    cut, n_lines, removed = line_dedup.dedup_lines(docs, min_letters=6)
     got = sorted(((r["doc_id"] or 0), r["text"] or "-", r[n_lines], r[removed]) for r in cut.collect())
     assert got == [(0, "d e f\ng h", 2, 0), (1, "a b c\nd e f\n\ng", 4, 0), (2, "x\ny", 4, 2), (2, "x\ny", 4, 2), (3, "-", 0, 0), (4, "-", 1, 0), (5, "-", 2, 2)]
     odd, n_lines, _ = line_dedup.dedup_lines(odd_documents(spark))
