@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import bpe, line_dedup, mixing, quality, shingle_join
-from labelwright.llm.common import fresh, table
+from labelwright.llm.common import WORD, fresh, table
 from labelwright.llm.queries import VOCABULARY
 
 #: A document scored below this goes.
@@ -25,15 +25,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without later copies of repeated line runs; n_chars follows the text."""
+    """Every document, without later copies of repeated line runs; n_chars follows the text. A document that consists of
+    such copies alone goes: nothing of it is new."""
     cut, n_lines, n_removed = line_dedup.dedup_lines(docs)
-    out = cut.drop(n_lines, n_removed)
+    out = cut.where((F.col(n_removed) == 0) | F.col("text").rlike(WORD)).drop(n_lines, n_removed)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates."""
-    return shingle_join.keep_one_of_each(docs, shingle_join.link_documents(docs, width=WIDTH, percent=PERCENT))
+    """One document, the smallest id, of each group of near duplicates; what line dedup left of a copy counts, not its first text."""
+    return shingle_join.keep_one_of_each(docs, width=WIDTH, percent=PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
