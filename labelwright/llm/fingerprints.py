@@ -1,4 +1,4 @@
-"""Merkle fingerprints of documents over sections, paragraphs and short runs of words, with expressions only."""
+"""Merkle fingerprints of documents over sections, paragraphs and pieces cut by content, with expressions only."""
 
 from __future__ import annotations
 
@@ -10,9 +10,13 @@ from labelwright.functions.text import let
 from labelwright.llm.common import fresh, text_key
 from labelwright.session import cut_lineage
 
-#: A leaf for comparison: up to four words of one paragraph.
-PIECE = r"[^ \t\n]+(?:[ \t]+[^ \t\n]+){0,3}"
-DIGITS = 6
+#: A paragraph is cut behind words whose hash is divisible by this, so that an insertion moves no cut but those next to it.
+PIECE_WORDS = 8
+#: Words longer than this (texts without blanks) are cut behind characters whose code point is.
+LONG_WORD = 40
+#: Hexadecimal digits of a piece's digest.
+DIGITS = 16
+CUT = "\x01"
 #: Stands for a null id in joins; the key of such a row differs from any of a row with this id.
 NO_ID = -(1 << 63)
 
@@ -24,29 +28,53 @@ def section_hashes(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), section)
 
 
-def pieces(text: Column) -> Column:
-    """Short digests of the distinct pieces of a text, in order; a text without words has none."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), lambda p: F.substring(F.md5(p), 1, DIGITS)))
+def pieces(paragraph: Column) -> Column:
+    """Digests of the pieces of a paragraph, in order: leaves of the tree. Cuts depend on the words around them alone."""
+    behind = lambda x, hit: F.concat(x, F.when(hit, F.lit(CUT)).otherwise(F.lit("")))
+    characters = lambda u: F.array_join(F.transform(F.regexp_extract_all(u, F.lit("(?s)."), F.lit(0)), lambda c: behind(c, F.pmod(F.ascii(c), F.lit(PIECE_WORDS)) == 0)), "")
+    inner = lambda u: F.when(F.length(u) > LONG_WORD, characters(u)).otherwise(u)
+    words = F.regexp_extract_all(paragraph, F.lit(r"[^ \t]+[ \t]*|[ \t]+"), F.lit(0))
+    marked = F.array_join(F.transform(words, lambda u: behind(inner(u), F.pmod(F.xxhash64(u), F.lit(PIECE_WORDS)) == 0)), "")
+    return F.transform(F.filter(F.split(marked, CUT), lambda x: x != ""), lambda x: F.substring(F.md5(x), 1, DIGITS))
 
 
 def fingerprint(text: Column) -> Column:
-    """Root of the tree, a colon, and the digests of the leaves with commas between.
+    """Root of the tree, a colon, and its branches: sections with ``/`` between, their paragraphs with ``.``, the digests
+    of a paragraph's pieces with ``,``.
 
     The root is sha256 over the section hashes, a section over its paragraph hashes, a paragraph over its text, so roots
     are equal exactly when texts are. Null counts as empty.
     """
     root = F.sha2(F.array_join(F.transform(section_hashes(text), lambda s: s["hash"]), ""), 256)
-    return F.concat(root, F.lit(":"), F.array_join(pieces(text), ","))
+    branch = lambda section: F.array_join(F.transform(F.split(section, "\n"), lambda p: F.array_join(pieces(p), ",")), ".")
+    return F.concat(root, F.lit(":"), F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), branch), "/"))
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """1 for equal roots, else twice the common leaves over the leaves of both; 0 if one has none."""
-    leaves = lambda f: F.split(F.substring_index(f, ":", -1), ",")
+    """1 for equal roots, else twice the pieces in common over the pieces of both; 0 if neither has any.
+
+    The trees are compared from the top: equal sections are not looked into, then equal paragraphs of the others, and only
+    pieces of paragraphs that differ are compared. Of equal branches side by side one counts.
+    """
+    def parts(branches: Column, cut: str) -> Column:
+        return F.array_distinct(F.filter(F.flatten(F.transform(branches, lambda x: F.split(x, cut))), lambda x: x != ""))
+
+    def weight(branches: Column) -> Column:
+        return F.aggregate(branches, F.lit(0), lambda n, x: n + F.size(F.filter(F.split(x, "[.,]"), lambda p: p != "")))
+
+    def below(a: Column, b: Column, cut: str, then) -> Column:
+        return let(parts(F.array_except(a, b), cut), lambda x: let(parts(F.array_except(b, a), cut), lambda y: then(x, y)))
+
     def share(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(a, b)) * F.lit(2.0) / (F.size(a) + F.size(b))
-    bare = F.endswith(left, F.lit(":")) | F.endswith(right, F.lit(":"))
+        def leaves(pa: Column, pb: Column, whole: Column) -> Column:
+            both = whole * 2 + F.size(pa) + F.size(pb)
+            return F.when(both > 0, (whole + F.size(F.array_intersect(pa, pb))) * F.lit(2.0) / both).otherwise(F.lit(0.0))
+        return let(weight(F.array_intersect(a, b)), lambda sections: below(a, b, r"\.", lambda x, y: let(
+            sections + weight(F.array_intersect(x, y)), lambda whole: below(x, y, ",", lambda pa, pb: leaves(pa, pb, whole)))))
+
+    branches = lambda f: parts(F.array(F.substring(f, 66, 1 << 30)), "/")
     same = F.substring(left, 1, 64) == F.substring(right, 1, 64)
-    return F.when(same, F.lit(1.0)).when(bare, F.lit(0.0)).otherwise(let(leaves(left), lambda a: let(leaves(right), lambda b: share(a, b))))
+    return F.when(same, F.lit(1.0)).otherwise(let(branches(left), lambda a: let(branches(right), lambda b: share(a, b))))
 
 
 def edits(before: Column, after: Column) -> Column:

@@ -45,9 +45,9 @@ class Languages:
     def infer(self, counts: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
         """The chosen languages and their shares.
 
-        Starts from the most likely single language and adds the one that helps most, as long as the log-likelihood of
-        the mixture, its shares found by expectation-maximisation, pays the penalty. Of equal languages the first by
-        name is taken.
+        Starts from the most likely single language and adds the one by which the log-likelihood rises most steeply, as
+        long as that of the mixture, its shares found by expectation-maximisation, pays the penalty. Of equal languages
+        the first by name is taken.
         """
         at = np.flatnonzero(counts)
         n, log_p = counts[at].astype(np.float64), self.log_p[:, at]

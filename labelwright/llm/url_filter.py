@@ -13,6 +13,7 @@ STRICT = ("casino", "pills", "viagra", "porn", "xxx", "bets", "spam", "warez", "
 SOFT = {"cheap": 1.0, "free": 1.0, "win": 1.0, "farm": 0.5, "ads": 1.0, "ad": 0.5, "track": 1.0, "bonus": 1.0, "click": 1.0, "deals": 0.5,
         "loan": 1.0, "adult": 1.0, "hot": 0.5, "promo": 0.5, "popup": 1.0, "torrent": 1.0}
 SOFT_LIMIT = 2.0
+VOCABULARY_BYTES = 64 << 20
 #: (host, path, verdict): the host and all its subdomains, paths that start with the path.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -30,7 +31,22 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _judge(strict: tuple[str, ...], soft: dict[str, float], soft_limit: float, rules):
+def read_vocabulary(terms: DataFrame, term: str = "term", weight: str = "weight", max_bytes: int = VOCABULARY_BYTES) -> tuple[tuple[str, ...], dict[str, float]]:
+    """Strict words (weight null) and soft ones with their weights, from a table; its size is measured before it is read.
+
+    A-Z of terms are lower-cased, empty and null terms dropped; of a term that comes several times the largest weight
+    counts, and it is strict if it is so once. More than ``max_bytes`` of distinct terms are refused.
+    """
+    known = terms.select(F.translate(F.col(term), UPPER, LOWER).alias("t"), F.col(weight).cast("double").alias("w")).where("t <> ''")
+    known = known.groupBy("t").agg(F.max("w").alias("w"), F.bool_or(F.col("w").isNull()).alias("strict"))
+    size = known.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    if size > max_bytes:
+        raise ValueError(f"a vocabulary of {size} bytes is more than the {max_bytes} that every task may hold")
+    rows = known.collect()
+    return tuple(sorted(r["t"] for r in rows if r["strict"])), {r["t"]: r["w"] for r in rows if not r["strict"]}
+
+
+def _judge(words, soft_limit: float, rules):
     by_host: dict[str, list[tuple[str, str]]] = {}
     for host, path, verdict in rules:
         by_host.setdefault(host, []).append((path, verdict))
@@ -47,6 +63,7 @@ def _judge(strict: tuple[str, ...], soft: dict[str, float], soft_limit: float, r
             at = dot + 1
 
     def run(batches):
+        strict, soft = words.value
         machine = ahocorasick.Automaton()
         for term in {*strict, *soft}:
             machine.add_word(term, term)
@@ -79,20 +96,24 @@ def _judge(strict: tuple[str, ...], soft: dict[str, float], soft_limit: float, r
     return run
 
 
-def judge_urls(pages: DataFrame, url: str = "url", strict=STRICT, soft=None, soft_limit: float = SOFT_LIMIT, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, url: str = "url", strict=STRICT, soft=None, soft_limit: float = SOFT_LIMIT, rules=RULES, vocabulary: DataFrame | None = None) -> DataFrame:
     """``pages`` without the columns named below, plus host, path, rule, verdict, strict_hits, soft_terms and soft_weight.
 
-    A rule decides if one fits. Else a URL is blocked on one strict word, or when its distinct soft words weigh
+    The words are ``strict`` and ``soft``, or those of a table ``vocabulary`` (see ``read_vocabulary``); the built-in ones
+    are an example. A rule decides if one fits. Else a URL is blocked on one strict word, or when its distinct soft words weigh
     ``soft_limit`` or more; since no weight is above 1, that takes several. A word counts only between characters
     other than a-z and 0-9 (or the ends), after A-Z are lower-cased. A null or empty URL, or one without ``://``, has
     an empty host and path and fits no rule; a null URL is allowed. Each row is judged alone: repeated rows get equal
     verdicts, an empty table stays empty, and any other columns are kept as they are.
     """
+    if vocabulary is not None:
+        strict, soft = read_vocabulary(vocabulary)
     soft = dict(SOFT if soft is None else soft)
     if any(w > 1 for w in soft.values()) or soft_limit <= 1:
         raise ValueError("a soft word weighs at most 1, and the limit is above 1")
     made = ["host", "path", "rule", "verdict", "strict_hits", "soft_terms", "soft_weight"]
-    function = F.arrow_udf(_typed(_judge(tuple(strict), soft, soft_limit, tuple(rules))), SCHEMA)
+    words = pages.sparkSession.sparkContext.broadcast((tuple(strict), soft))  # measured where it comes from a table
+    function = F.arrow_udf(_typed(_judge(words, soft_limit, tuple(rules))), SCHEMA)
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in made]
     staged = pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     staged = staged.withColumn("verdict", function(F.col(url), F.col("host"), F.col("path")))

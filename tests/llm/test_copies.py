@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from labelwright.llm import fingerprints, line_dedup, repeats, shingle_join
@@ -257,7 +258,7 @@ def test_edits_and_likeness_against_brute_force(spark):
         q = len(text) // 4
         edited = text[:len(text) - q] + rows[(k + 1) % len(rows)][1][:q]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(text)
-        assert 0 <= got[i]["near_next"] <= 1 and (got[i]["near_edited"] == 1) == (edited == text)
+        assert abs(got[i]["near_next"] - brute_likeness(text, rows[(k + 1) % len(rows)][1])) < 1e-9 and abs(got[i]["near_edited"] - brute_likeness(text, edited)) < 1e-9
     roots = {}
     for i, text in rows:
         assert roots.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
@@ -266,6 +267,50 @@ def test_edits_and_likeness_against_brute_force(spark):
     assert near > 0.97
 
 
+def brute_tree(text):
+    """Sections of paragraphs of pieces."""
+    def cut(paragraph):
+        out = [""]
+        for u in regex.findall(r"[^ \t]+[ \t]*|[ \t]+", paragraph):
+            for c in u if len(u) > fingerprints.LONG_WORD else [u]:
+                out[-1] += c
+                if len(u) > fingerprints.LONG_WORD and ord(c[0]) % fingerprints.PIECE_WORDS == 0:
+                    out.append("")
+            if xxhash.xxh64_intdigest(u.encode(), 42) % fingerprints.PIECE_WORDS == 0:
+                out.append("")
+        return tuple(x for x in out if x)
+    return tuple(tuple(cut(p) for p in s.split("\n")) for s in text.split("\n\n"))
+
+
+def brute_likeness(one, two):
+    if one == two:
+        return 1.0
+    a, b = (list(dict.fromkeys(s for s in brute_tree(t) if any(s) or len(s) > 1)) for t in (one, two))
+    sections = sum(len(p) for s in a if s in b for p in s)
+    x, y = (list(dict.fromkeys(p for s in me if s not in other for p in s if p)) for me, other in ((a, b), (b, a)))
+    whole = sections + sum(len(p) for p in x if p in y)
+    pa, pb = ({q for p in me if p not in other for q in p} for me, other in ((x, y), (y, x)))
+    both = 2 * whole + len(pa) + len(pb)
+    return 2 * (whole + len(pa & pb)) / both if both else 0.0
+
+
+def test_likeness_comes_from_the_branches(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    long = line(400)
+    bare = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz\u4e00\u4e8c\U0001F600") for _ in range(4000))
+    text = "\n\n".join("\n".join(line(rng.randint(0, 60)) for _ in range(rng.randint(1, 5))) for _ in range(6))
+    pairs = [(long, "word " + long), (bare, bare[:2000] + "#" + bare[2001:]), (text, text.replace("a", "b", 1)), (text, "\n\n".join(reversed(text.split("\n\n")))), (text, text + "\n" + line(9)),
+             (text, long), ("", "x"), ("", ""), (" ", "\t"), ("\n\n", "\n"), ("a b", "a  b"), (text, None)]
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: r["n"] for r in frame.select("i", fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("n")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert abs(got[i] - brute_likeness(a, b or "")) < 1e-9, (i, got[i], brute_likeness(a, b or ""))
+    assert got[0] > 0.95 and got[1] > 0.95 and got[2] > 0.9 and got[5] < 0.1 and got[7] == 1
+    assert got[3] == 1 and fingerprints.PIECE_WORDS == 8  # the same sections in another order have all pieces in common
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = fingerprints.edited_documents(odd_documents(spark))
     assert rows.count() == 13

@@ -1,5 +1,7 @@
 """Held-out accuracy of the classifiers, and their odd rows."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +88,65 @@ def test_trigrams_of_long_texts_are_those_of_its_blocks(monkeypatch):
     whole = language.trigram_counts(text)
     monkeypatch.setattr(language, "_BLOCK", 17)
     assert (language.trigram_counts(text) == whole).all()
+
+
+def plain_trigrams(text):
+    """Places of the trigrams, from integers without wrap-around tricks."""
+    out, at, clean = {}, 1 << 64, " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    for i in range(len(clean) - 2):
+        h = sum(ord(c) * k for c, k in zip(clean[i:i + 3], (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) % at
+        bucket = (((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % at) >> 40) % language.BUCKETS
+        out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def plain_mixture(counts, p, shares):
+    """Shares by expectation-maximisation and the log-likelihood, one trigram at a time."""
+    n = sum(counts.values())
+    for _ in range(language.ROUNDS):
+        moved = [0.0] * len(shares)
+        for b, c in counts.items():
+            parts = [s * q[b] for s, q in zip(shares, p)]
+            for k, x in enumerate(parts):
+                moved[k] += c * x / sum(parts) / n
+        done = max(abs(a - b) for a, b in zip(moved, shares)) < 1e-4
+        shares = moved
+        if done:
+            break
+    return shares, sum(c * math.log(sum(s * q[b] for s, q in zip(shares, p))) for b, c in counts.items())
+
+
+def test_language_mixtures_against_plain_inference(spark):
+    """Counts, likelihoods, shares and the penalised choice of the set, for single and mixed texts."""
+    given = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]]
+    learnt = [(i, t, l) for i, t, l in given if l is not None and i % 3]
+    model = language.fit(spark.createDataFrame(learnt, "doc_id long, text string, lang string"))
+    seen = {l: [language.SMOOTHING] * language.BUCKETS for _, _, l in learnt}
+    for _, t, l in learnt:
+        for b, c in plain_trigrams(t).items():
+            seen[l][b] += c
+    names = sorted(seen)
+    p = [[c / sum(seen[l]) for c in seen[l]] for l in names]
+    by_lang = {l: [t[:1500] for _, t, k in given if k == l and len(t) > 600] for l in names}
+    texts = [by_lang[l][0] for l in names] + [by_lang[a][1] + " " + by_lang[b][2][:700] for a, b in zip(names, names[1:] + names[:1])] + ["Straße x y z", "a1b2"]
+    rows = language.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()
+    several = 0
+    for r in rows:
+        counts = plain_trigrams(texts[r["i"]])
+        n = sum(counts.values())
+        single = [sum(c * math.log(q[b]) for b, c in counts.items()) for q in p]
+        chosen, shares, likelihood = [single.index(max(single))], [1.0], max(single)
+        cost = language.PENALTY * 0.5 * math.log(max(n, 2))
+        while len(chosen) < len(names):
+            rise = [-1e300 if k in chosen else sum(c * q[b] / sum(s * p[j][b] for s, j in zip(shares, chosen)) for b, c in counts.items()) - n for k, q in enumerate(p)]
+            best = rise.index(max(rise))
+            if rise[best] <= cost:
+                break
+            trial, reached = plain_mixture(counts, [p[k] for k in [*chosen, best]], [*(s * 0.9 for s in shares), 0.1])
+            if reached - likelihood <= cost:
+                break
+            chosen, shares, likelihood = [*chosen, best], trial, reached
+        several += len(chosen) > 1
+        assert set(r["languages"]) == {names[k] for k in chosen}
+        assert all(abs(r["languages"][names[k]] - s) < 1e-6 for k, s in zip(chosen, shares)) and abs(r["score"] - max(shares)) < 1e-6
+    assert several >= len(names) - 1

@@ -119,6 +119,38 @@ def test_urls(spark):
         url_filter.judge_urls(frame, soft={"a": 2.0})
 
 
+def test_urls_by_a_vocabulary_of_thousands(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghé1-") for _ in range(rng.randint(3, 7)))
+    terms = [(word().title(), rng.choice([None, 1.0, *[0.5] * 20, *[0.25] * 30])) for _ in range(6000)] + [("", 1.0), (None, None)]
+    urls = ["http://x.net/" + "/".join(rng.choice(terms[:-2])[0] if rng.random() < 0.6 else word() for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    strict, soft = set(), {}
+    fold = lambda t: "".join(c.lower() if c.isascii() else c for c in t)
+    for t, w in terms:
+        if t and w is None:
+            strict.add(fold(t))
+    for t, w in terms:
+        if t and w is not None and fold(t) not in strict:
+            soft[fold(t)] = max(w, soft.get(fold(t), 0))
+    table = spark.createDataFrame(terms, "term string, weight double")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules=(), vocabulary=table).collect()}
+    wordly = lambda c: c in "abcdefghijklmnopqrstuvwxyz0123456789"
+    for i, url in enumerate(urls):
+        low, hits, found = fold(url), 0, set()
+        for a in range(len(low)):
+            for b in range(a + 1, min(len(low), a + 7) + 1):
+                if (a == 0 or not wordly(low[a - 1])) and (b == len(low) or not wordly(low[b])):
+                    hits += low[a:b] in strict
+                    found |= {low[a:b]} & set(soft)
+        weight = sum(soft[t] for t in found)
+        assert (got[i]["strict_hits"], got[i]["soft_terms"], got[i]["soft_weight"]) == (hits, len(found), weight)
+        assert got[i]["verdict"] == ("block" if hits or weight >= url_filter.SOFT_LIMIT else "allow")
+    assert len({r["verdict"] for r in got.values()}) == 2 and len(soft) > 3000 and sum(r["strict_hits"] == 0 for r in got.values()) > 200
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(table, max_bytes=1000)
+
+
 def test_urls_as_sql(spark, tmp_path):
     import duckdb
     spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
