@@ -27,6 +27,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Keys with more than one in so many rows are frequent; there are at most as many of them.
+FREQUENT_SHARES = 500
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key and in ``n`` how many of ``rows`` have it.
+
+    Frequent keys are looked up by broadcast, at most ``FREQUENT_SHARES`` rows, and only the others are shuffled: no
+    task takes all rows of one. ``rows`` is read three times and ought to be written down.
+    """
+    often = F.col(n) > rows.count() / FREQUENT_SHARES
+    frequent = F.broadcast(table.where(often))
+    return rows.join(frequent, keys).unionByName(rows.join(frequent, keys, "left_anti").join(table.where(~often), keys))
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """Tells rows of one doc_id apart: rows equal in doc_id and text are copies of one document."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import fresh, mix
+from labelwright.llm.common import fresh, join_frequent, mix
 from labelwright.llm.components import components
 from labelwright.session import cut_lineage
 
@@ -26,7 +26,6 @@ SCALE = 4.0
 #: Neighbours of a block's cell that are looked at for the nearest visits of the product.
 NEAR = 7
 GROUP_ROWS = 1024
-HOT_SHARES = 500
 #: Signs of random projections: vectors at 0.9 differ in 9.2 +- 2.8 of 64, unlike ones in 32 +- 4.
 SKETCH_BITS, SKETCH_LIMIT = 64, 23
 PAIRS = 1 << 16
@@ -244,11 +243,8 @@ def _compare(least: float):
 def _blocks(rows: DataFrame) -> DataFrame:
     """Cells to blocks: one up to ``GROUP_ROWS`` rows is a block (side 0); a larger one is dealt to cuts, and every two
     cuts are a block (sides 1 and 2) as is each cut (side 0). So no task holds more, and no pair is lost."""
-    counted = rows.groupBy(F.col("cell").alias("_cell")).agg(F.count("*").alias("_n"), F.count_if("home").alias("_h")).where("_n > 1 and _h > 0")
-    # cells of more than one in HOT_SHARES rows, at most HOT_SHARES of them, are looked up by broadcast: no task takes all rows of one
-    often, same = F.col("_n") > rows.count() / HOT_SHARES, F.col("cell") == F.col("_cell")
-    hot = F.broadcast(counted.where(often))
-    sized = rows.join(hot, same).unionByName(rows.join(hot, same, "left_anti").join(counted.where(~often), same))
+    counted = rows.groupBy("cell").agg(F.count("*").alias("_n"), F.count_if("home").alias("_h")).where("_n > 1 and _h > 0")
+    sized = join_frequent(rows, counted, ["cell"], "_n")
     sized = sized.withColumn("cuts", F.ceil(F.col("_n") / GROUP_ROWS).cast("int")).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     low, high = F.least("cut", "other"), F.greatest("cut", "other")

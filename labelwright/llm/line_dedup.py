@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.functions.text import let
-from labelwright.llm.common import fresh, text_key
+from labelwright.llm.common import fresh, join_frequent, text_key
 from labelwright.session import cut_lineage
 
 #: A repeated run is deleted from this many letters and digits on; a line counts as one at least. Brackets, table rules
@@ -89,8 +89,8 @@ def later_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     found = windowed.select("doc", "key", F.explode(F.array("_ahead", "_back")).alias("s")).where("s.r is not null and s.q is not null").select("doc", "key", "s.*").distinct()
     found = cut_lineage(found)
     place = F.struct(F.col("doc").isNotNull().alias("known"), "doc", "key", "pos")
-    intervals = found.groupBy("n", "r", "q").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = found.join(intervals, ["n", "r", "q"]).where(place > F.col("first"))
+    intervals = found.groupBy("n", "r", "q").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = join_frequent(found, intervals, ["n", "r", "q"], "copies").where(place > F.col("first"))
     covered = later.select(F.col("doc").alias("_d"), F.col("key").alias("_k"), F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("_p")).distinct()
     return sa.join(covered, (F.col("pos") == F.col("_p")) & (F.col("key") == F.col("_k")) & F.col("doc").eqNullSafe(F.col("_d"))).select("doc", "key", "line")
 

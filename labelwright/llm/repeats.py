@@ -18,6 +18,8 @@ MIN_WORDS = 50
 #: Minimisers are taken over so many successive runs of ``GRAM`` words; one falls into every passage of GRAM + WINDOW - 1 words.
 WINDOW = 24
 GRAM = 8
+#: One in so many documents is looked at for very frequent passages; those above one in ``SHARES`` are dealt to ``PARTS``.
+SAMPLE, SHARES, PARTS = 16, 1000, 64
 
 
 def minimisers(words: np.ndarray, gram: int, window: int) -> np.ndarray:
@@ -77,6 +79,16 @@ def _runs(min_words: int):
     return run
 
 
+def _frequent(base: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
+    """Groups of more than one in ``SHARES`` anchors in a sample of the documents, at most ``SHARES`` of them. They only
+    decide what is moved where, never what is found."""
+    sample = base.where(F.pmod(F.xxhash64("ref"), F.lit(SAMPLE)) == 0).mapInArrow(_anchors(min_words, window, gram), "grp long, doc long, ref long, pos int, n int")
+    counts = sample.groupBy("grp").agg(F.count("*").alias("n")).where("n > 4")
+    whole = cut_lineage(counts)
+    total = whole.agg(F.sum("n")).first()[0] or 0
+    return whole.where(F.col("n") > total / SHARES).select("grp", F.lit(True).alias("often"))
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, gram: int = GRAM,
                       partitions: int = 64) -> DataFrame:
     """``doc_id, first_word, n_words, other_doc_id, other_first_word``: maximal passages of ``min_words`` words or more that
@@ -95,7 +107,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         raise ValueError("a passage must hold a whole window")
     base = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), text_key(F.col(doc_id), F.col(text)).alias("ref"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     anchors = base.mapInArrow(_anchors(min_words, window, gram), "grp long, doc long, ref long, pos int, n int")
-    counted = anchors.withColumn("met", (F.min("ref").over(W.partitionBy("grp")) != F.max("ref").over(W.partitionBy("grp"))))
+    # where a passage is in very many documents, its rows needn't be together to know that it is in two
+    frequent = _frequent(base, min_words, window, gram)
+    dealt = anchors.join(F.broadcast(frequent), "grp", "left").withColumn("part", F.when(F.col("often"), F.pmod(F.xxhash64("ref", "pos"), F.lit(PARTS))).otherwise(0))
+    own = W.partitionBy("grp", "part")
+    counted = dealt.withColumn("met", F.col("often").isNotNull() | (F.min("ref").over(own) != F.max("ref").over(own)))
     kept = counted.where("met").select("grp", "doc", "ref", "pos", "n").distinct()
     wanted = kept.groupBy(F.col("doc").alias("d"), F.col("ref").alias("r")).agg(F.collect_list(F.struct("grp", "pos", "n")).alias("at"))
     joined = base.dropDuplicates(["doc", "ref"]).join(wanted, (F.col("doc") == F.col("d")) & (F.col("ref") == F.col("r"))).select("doc", "ref", "text", "at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelwright.llm.common import fresh, shingle_sets, text_key
+from labelwright.llm.common import fresh, join_frequent, shingle_sets, text_key
 from labelwright.llm.components import components
 from labelwright.session import cut_lineage
 
@@ -200,15 +201,20 @@ def _sets(width: int):
 
 
 def _blocks(nodes: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """``(node, component, n)`` to ``(node, block)``: small groups are packed together; a group above ``block_docs`` is
-    cut by size, and each two cuts whose sizes can match form a block."""
-    place = F.row_number().over(W.partitionBy("component").orderBy("n", "node"))
-    cut = nodes.withColumn("cut", F.floor((place - 1) / block_docs).cast("int"))
-    cuts = cut.groupBy("component", "cut").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("docs"))
-    group = cuts.groupBy("component").agg(F.count("*").alias("cuts"))
+    """``(node, component, n)``, written down, to ``(node, block)``: small groups are packed together; a group above
+    ``block_docs`` is cut by ranges of size and, where a range has more, by a hash, and each two cuts whose sizes can
+    match form a block."""
+    step = math.log(100 / percent) if 0 < percent < 100 else 1.0
+    ranged = nodes.groupBy("component").agg(F.count("*").alias("docs"))
+    ranged = join_frequent(nodes, ranged, ["component"], "docs").withColumn("whole", F.col("docs") <= block_docs)
     packs = F.lit(max(1, nodes.count() // block_docs))
-    small = cut.join(group.where("cuts = 1"), "component").select("node", F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), packs).cast("string")).alias("block"))
-    large = cuts.join(group.where("cuts > 1"), "component").drop("cuts", "docs")
+    ranged = cut_lineage(ranged.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / step).cast("int")).drop("docs"))
+    small = ranged.where("whole").select("node", F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), packs).cast("string")).alias("block"))
+    ranged = ranged.where("not whole")
+    held = ranged.groupBy("component", "range").agg(F.count("*").alias("docs"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("docs") / block_docs)).cast("int")
+    cut = join_frequent(ranged, held, ["component", "range"], "docs").select("node", "component", "n", (F.col("range") * F.lit(1 << 20) + part).cast("long").alias("cut"))
+    large = cut.groupBy("component", "cut").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = large.select("component", F.col("cut").alias("cut2"), F.col("low").alias("low2"))
     met = large.join(other, "component").where((F.col("cut") <= F.col("cut2")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("low2")))
     named = met.select("component", "cut", "cut2", F.concat_ws(":", "component", "cut", "cut2").alias("block"))
