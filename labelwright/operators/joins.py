@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelwright.functions import measures as M
 from labelwright.functions.sizing import broadcast_if_small
 from labelwright.functions.text import blank_to_null, fold, let
 from labelwright.operators.filters import clean_detections
+from labelwright.session import cut_lineage
 
 COMPARED_FIELDS = {"net_quantity": "net_quantity", "country_of_origin": "country_of_origin",
                    "manufacturer_packer_importer_details": "manufacturer", "maximum_retail_price_mrp": "mrp"}
@@ -170,22 +174,43 @@ def candidate_pairs(a: DataFrame, b: DataFrame, image: str = "image_id", minimum
     return scored.where(F.col("score") >= minimum).select(image, "a", "b", "score")
 
 
+def dominant_pairs(pairs: DataFrame, image: str = "image_id") -> DataFrame:
+    """One-to-one choice among ``pairs(image, l, r, score)``: what taking the best free pair again and again, by (score,
+    l, r) from the top, would choose.
+
+    A pair that is the best of both its boxes is taken in any case, so all of those are taken at once and the pairs of
+    their boxes go; the rest is looked at again. Every step works per box, none gathers an image. There are as many
+    rounds as the longest chain of pairs, each better than the next and sharing a box with it; each is written down.
+    """
+    left, right = W.partitionBy(image, "l"), W.partitionBy(image, "r")
+    taken, free = [], pairs.select(image, "l", "r", "score")
+    while True:
+        best = ((F.row_number().over(left.orderBy(F.desc("score"), F.desc("r"))) == 1) & (F.row_number().over(right.orderBy(F.desc("score"), F.desc("l"))) == 1))
+        flagged = free.withColumn("_taken", best).withColumn("_gone", F.bool_or("_taken").over(right)).withColumn("_gone", F.col("_gone") | F.bool_or("_taken").over(left))
+        step = cut_lineage(flagged.where("_taken or not _gone").select(image, "l", "r", "score", "_taken"))
+        taken.append(step.where("_taken").drop("_taken"))
+        free = step.where("not _taken").drop("_taken")
+        if free.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+
 def match_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", minimum: float = 0.45, band: int = 64, cap: int | None = None) -> DataFrame:
-    """Greedy one-to-one matching per image by (score, left, right) descending, with singles of both sides.
+    """One row per matched pair or single box: the greedy one-to-one matching of two readings of an image.
 
-    Both sides are cleaned first; with ``cap`` that keeps so many boxes per image, so the candidates one image folds
-    over are bounded.
+    ``left_pos, right_pos, status, text, confidence, other_text, other_confidence, iou, score, text_similarity`` and the
+    box. The left reading is the authority: its text and confidence stand where it has the box; the box of a pair is
+    weighted by confidence. ``status``: consensus, disagreement, single_source (left alone), other_only (right alone).
+    Both readings are cleaned and written once; ``cap`` keeps so many boxes per image where a caller wants that.
     """
-    a, b = (clean_detections(side, cap) for side in (a, b))
-    pairs = candidate_pairs(a, b, image, minimum, band)
-    ordered = F.sort_array(F.collect_list(F.struct("score", F.col("a.pos").alias("l"), F.col("b.pos").alias("r"))), asc=False)
-    start = F.expr("cast(array() as array<struct<score:double,l:int,r:int>>)")
-    chosen = F.aggregate(F.col("_o"), start, lambda acc, p: F.when(
-        F.exists(acc, lambda t: (t["l"] == p["l"]) | (t["r"] == p["r"])), acc).otherwise(F.concat(acc, F.array(F.struct(
-            p["score"].alias("score"), p["l"].cast("int").alias("l"), p["r"].cast("int").alias("r"))))))
-    picked = pairs.groupBy(image).agg(ordered.alias("_o")).select(image, F.inline(chosen))
-    left = a.select(image, F.col("pos").alias("l"), F.struct("text", "confidence", "x1", "y1", "x2", "y2").alias("a"))
-    right = b.select(image, F.col("pos").alias("r"), F.struct("text", "confidence", "x1", "y1", "x2", "y2").alias("b"))
+    kept = ["pos", "text", "confidence", "x1", "y1", "x2", "y2"]
+    sides = [clean_detections(df, cap).select(image, *kept, F.lit(i).alias("_side")) for i, df in enumerate((a, b))]
+    boxes = cut_lineage(sides[0].unionByName(sides[1]))
+    a, b = (boxes.where(F.col("_side") == i).drop("_side") for i in (0, 1))
+    bare = lambda df: df.withColumn("text", F.lit(None).cast("string"))
+    pairs = candidate_pairs(bare(a), bare(b), image, minimum, band).select(image, F.col("a.pos").alias("l"), F.col("b.pos").alias("r"), "score")
+    picked = dominant_pairs(cut_lineage(pairs), image)
+    left = a.select(image, F.col("pos").alias("l"), F.struct(*kept[1:]).alias("a"))
+    right = b.select(image, F.col("pos").alias("r"), F.struct(*kept[1:]).alias("b"))
     full = left.join(picked, [image, "l"], "left").join(right, [image, "r"], "full_outer")
     same = fold(F.col("a.text")) == fold(F.col("b.text"))
     status = (F.when(F.col("a").isNull(), "other_only").when(F.col("b").isNull(), "single_source")
@@ -193,17 +218,32 @@ def match_boxes(a: DataFrame, b: DataFrame, image: str = "image_id", minimum: fl
     wa, wb = F.greatest(F.col("a.confidence"), F.lit(0.01)), F.greatest(F.col("b.confidence"), F.lit(0.01))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     coord = lambda c: F.when(both, fused(F.col(f"a.{c}"), F.col(f"b.{c}"), wa, wb)).otherwise(F.coalesce(f"a.{c}", f"b.{c}")).alias(c)
-    return full.select(image, F.col("l").alias("left_pos"), F.col("r").alias("right_pos"), status.alias("status"), F.round("score", 4).alias("score"),
+    return full.select(image, F.col("l").alias("left_pos"), F.col("r").alias("right_pos"), status.alias("status"), F.coalesce("a.text", "b.text").alias("text"),
+                       F.coalesce("a.confidence", "b.confidence").alias("confidence"), F.when(both, F.col("b.text")).alias("other_text"), F.when(both, F.col("b.confidence")).alias("other_confidence"),
+                       F.when(both, F.round(iou(F.col("a"), F.col("b")), 6)).alias("iou"), F.round("score", 4).alias("score"),
                        F.when(both, F.round(text_similarity(F.col("a.text"), F.col("b.text")), 4)).alias("text_similarity"),
                        *[coord(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-def ensemble_summary(matched: DataFrame, image: str = "image_id") -> DataFrame:
-    """Mode, disagreements and status of each image."""
+def disagreements(matched: DataFrame, image: str = "image_id") -> DataFrame:
+    """What a person must look at: pairs of unlike text and boxes that only the second reading has."""
+    pair = F.col("status") == "disagreement"
+    return matched.where(pair | (F.col("status") == "other_only")).select(
+        image, "left_pos", "right_pos", F.lit("review_required").alias("status"), F.when(pair, F.col("text")).alias("left_text"), F.when(pair, F.col("confidence")).alias("left_confidence"),
+        F.when(pair, F.col("other_text")).otherwise(F.col("text")).alias("right_text"), F.when(pair, F.col("other_confidence")).otherwise(F.col("confidence")).alias("right_confidence"),
+        "score", "text_similarity", "x1", "y1", "x2", "y2")
+
+
+def ensemble_summary(matched: DataFrame, images: DataFrame | None = None, image: str = "image_id") -> DataFrame:
+    """Mode, regions, disagreements and status of each image; those of ``images`` without any box are ``no_data``."""
     any_left, any_right = F.bool_or(F.col("left_pos").isNotNull()), F.bool_or(F.col("right_pos").isNotNull())
     n = F.count_if(F.col("status").isin("disagreement", "other_only"))
     mode = F.when(any_left & any_right, "comparison_review_only").when(any_left, "primary_only").otherwise("secondary_only_review")
-    return matched.groupBy(image).agg(mode.alias("mode"), n.alias("disagreements"), F.when(n > 0, "review_required").otherwise("ok").alias("status"))
+    found = matched.groupBy(image).agg(mode.alias("mode"), F.count("*").alias("regions"), n.alias("disagreements"))
+    if images is not None:
+        found = images.select(image).distinct().join(found, image, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return found.select(image, F.coalesce("mode", F.lit("no_data")).alias("mode"), zero("regions"), zero("disagreements"), F.when(F.col("disagreements") > 0, "review_required").otherwise("ok").alias("status"))
 
 
 # ---- legal basis ------------------------------------------------------------------------------------

@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from labelwright.functions.sizing import broadcast_if_small
 from labelwright.functions.text import tokens
+from labelwright.session import cut_lineage
 
 BM25_K1, BM25_B = 1.5, 0.75
-MAX_TERMS = 100_000  # query terms that may be broadcast
+#: Pairs of query and term that every task may hold; more queries are searched in as many turns as it takes.
+QUERY_TERMS = 2_000_000
+#: Postings of one term are cut into blocks of so many passages, each with its highest score.
+POSTING_BLOCK = 128
+#: Scores are rounded to six digits, so a bound this far below cannot matter.
+_MARGIN = 2e-6
 
 
 def top_k(scored: DataFrame, query: str, k: int, item: str) -> DataFrame:
@@ -19,31 +32,143 @@ def top_k(scored: DataFrame, query: str, k: int, item: str) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, query: str = "query_id", item: str = "passage_id",
-         max_share: float | None = None) -> DataFrame:
-    """Keyword ranking of ``passages(passage_id, text)`` for ``queries(query_id, text)``.
-
-    Only terms that occur in a query are counted on the passage side: the term list of the queries cuts the
-    passages down before the one aggregate per (passage, term). ``max_share`` leaves out terms held by more than
-    that share of the passages; without it every term counts.
+class Postings:
+    """The passages of one shard by term, with what each adds to a score, and the highest such value of every block."""
+
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, times: np.ndarray, lengths: np.ndarray, idf: np.ndarray, average: float):
+        order = np.lexsort((docs, terms))
+        terms, self.docs, times = terms[order], docs[order], times[order].astype(float)
+        self.n_docs = len(lengths)
+        norm = times + BM25_K1 * (1 - BM25_B + BM25_B * lengths[self.docs] / average)
+        self.adds = idf[terms] * times * (BM25_K1 + 1) / norm
+        self.known, first = np.unique(terms, return_index=True)
+        self.first = np.append(first, len(terms))
+        starts = [np.arange(a, z, POSTING_BLOCK) for a, z in zip(self.first[:-1], self.first[1:])]
+        flat = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.block_of = np.concatenate([[0], np.cumsum([len(x) for x in starts])]).astype(np.int64)
+        self.block_doc = self.docs[flat]
+        self.block_most = np.maximum.reduceat(self.adds, flat) if len(flat) else np.zeros(0)
+        self.most = np.maximum.reduceat(self.adds, first) if len(first) else np.zeros(0)
+
+    def scores(self, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Whole scores of some passages; terms are added in one order whatever the shard."""
+        total = np.zeros(len(some))
+        for t in np.sort(at):
+            a, z = self.first[t], self.first[t + 1]
+            place = np.minimum(np.searchsorted(self.docs[a:z], some), z - a - 1) + a
+            total += np.where(self.docs[place] == some, self.adds[place], 0.0)
+        return total
+
+    def best(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Passages that may be among the k best and reach ``floor``, with their scores (MaxScore with block maxima).
+
+        Terms are added from the highest possible gain down. Once all that are left cannot lift a passage without a score
+        to the kth, only passages near it are looked up in their lists, and only where their blocks' maxima allow it.
+        """
+        at = np.searchsorted(self.known, query)
+        at = at[(at < len(self.known)) & (self.known[np.minimum(at, len(self.known) - 1)] == query)] if len(self.known) else at[:0]
+        at = at[np.argsort(-self.most[at], kind="stable")]
+        rest = np.append(np.cumsum(self.most[at][::-1])[::-1], 0.0)
+        total, least, done = np.zeros(self.n_docs), floor, len(at)
+        for i, t in enumerate(at):
+            if total.max(initial=0.0) > rest[i] or floor > rest[i]:
+                if self.n_docs > k:
+                    least = max(least, np.partition(total, self.n_docs - k)[self.n_docs - k])
+                if least > rest[i] + _MARGIN:
+                    done = i
+                    break
+            a, z = self.first[t], self.first[t + 1]
+            total[self.docs[a:z]] += self.adds[a:z]
+        if self.n_docs > k:
+            least = max(least, np.partition(total, self.n_docs - k)[self.n_docs - k])
+        some = np.flatnonzero((total > 0) & (total + rest[done] >= least - _MARGIN))
+        bound = total[some]
+        for t in at[done:]:
+            block = np.searchsorted(self.block_doc[self.block_of[t]:self.block_of[t + 1]], some, side="right") - 1
+            bound = bound + np.where(block >= 0, self.block_most[self.block_of[t] + np.maximum(block, 0)], 0.0)
+        some = some[bound >= least - _MARGIN]
+        return some, self.scores(at, some)
+
+
+def _shards(terms, item: str, kind: pa.DataType):
+    """One row a batch: its passages' ids and lengths, and term, passage and number of times of every posting."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(terms.value, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column(1)
+            lengths = pc.list_value_length(held)
+            flat = pc.index_in(held.flatten(), wanted)
+            passage = np.repeat(np.arange(len(held)), pc.fill_null(lengths, 0).to_numpy())
+            hit = flat.is_valid().to_numpy(zero_copy_only=False)
+            pairs, times = np.unique(passage[hit] * len(wanted) + flat.drop_null().to_numpy(), return_counts=True)
+            whole = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, t))
+            yield pa.RecordBatch.from_arrays([whole(batch.column(0), kind), whole(lengths, pa.int32()), whole(pairs % len(wanted), pa.int32()), whole(pairs // len(wanted), pa.int32()), whole(times, pa.int32())],
+                                             ["ids", "lengths", "terms", "docs", "times"])
+    return run
+
+
+def _search(asked, k: int, item_type: pa.DataType, query_type: pa.DataType):
+    """The k best passages of each query in this task, handing the kth score on from shard to shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, terms, idf, average = asked.value
+        held: dict[int, list] = {}
+        for batch in batches:
+            for ids, lengths, *rest in zip(*(c for c in batch.columns)):
+                lengths = pc.fill_null(lengths.values, 0).to_numpy().astype(float)
+                shard = Postings(*(x.values.to_numpy() for x in rest), lengths, idf, average)
+                ids = ids.values.to_pylist()
+                for q in range(len(names)):
+                    kept = held.get(q, [])
+                    floor = -kept[k - 1][0] if len(kept) >= k else 0.0
+                    some, scores = shard.best(terms[starts[q]:starts[q + 1]], k, floor)
+                    if len(some):
+                        held[q] = sorted([*kept, *((-s, ids[i]) for i, s in zip(some.tolist(), np.round(scores, 6).tolist()))])[:k]
+        rows = [(names[q], i, -s) for q, kept in held.items() for s, i in kept]
+        columns = list(zip(*rows)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (query_type, item_type, pa.float64()))], ["query", "item", "score"])
+    return run
+
+
+def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, query: str = "query_id", item: str = "passage_id", query_terms: int = QUERY_TERMS) -> DataFrame:
+    """Keyword ranking of ``passages(passage_id, text)`` for ``queries(query_id, text)``; ties go to the smaller id.
+
+    The distinct terms of the queries are counted first and handed to every task, in turns where they are more than
+    ``query_terms``. Passages stay where they are read: a task turns each batch into postings of the queries' terms,
+    Spark adds up how many passages have each term, and the written postings are searched with MaxScore. Only the k
+    best of each query and task are shuffled.
     """
-    q_terms = queries.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = q_terms.select("term").distinct()
-    few = wanted.limit(MAX_TERMS + 1).count() <= MAX_TERMS
-    small = F.broadcast if few else lambda df: df  # one row per query term
-    tokened = passages.select(item, tokens(F.col("text")).alias("_t"))
-    exploded = tokened.select(item, F.size("_t").alias("_len"), F.explode_outer("_t").alias("term"))
-    stats = tokened.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))  # one row
-    tf = exploded.join(small(wanted), "term", "left_semi").groupBy(item, "_len", "term").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"))
-    weights = df.crossJoin(F.broadcast(stats))
-    if max_share is not None:
-        weights = weights.where(F.col("_df") <= F.col("_n") * max_share)
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = weights.select("term", idf.alias("_idf"), "_avg")
-    norm = F.col("_tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / F.col("_avg"))
-    postings = tf.join(small(weights), "term").select("term", item, (F.col("_idf") * F.col("_tf") * (BM25_K1 + 1) / norm).alias("_s"))
-    scored = q_terms.join(postings, "term").groupBy(query, item).agg(F.round(F.sum("_s"), 6).alias("score"))
+    spark = queries.sparkSession
+    types = [f.dataType for f in (queries.schema[query], passages.schema[item])]
+    query_type, item_type = (to_arrow_schema(StructType([StructField("x", t)])).field(0).type for t in types)
+    by_query = cut_lineage(queries.where(F.col(query).isNotNull()).select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
+    turns = max(1, -(-by_query.count() // query_terms))
+    tokened = passages.where(F.col(item).isNotNull()).select(item, tokens(F.col("text")).alias("_t"))
+    found = []
+    for turn in range(turns):
+        mine = by_query.where(F.pmod(F.xxhash64(query), F.lit(turns)) == turn).groupBy(query).agg(F.collect_list("term").alias("terms")).collect()
+        vocabulary = sorted({t for r in mine for t in r["terms"]})
+        place = {t: i for i, t in enumerate(vocabulary)}
+        schema = StructType([StructField("ids", ArrayType(types[1]))])
+        for column in ("lengths", "terms", "docs", "times"):
+            schema.add(column, ArrayType(IntegerType()))
+        shards = cut_lineage(tokened.mapInArrow(_shards(spark.sparkContext.broadcast(vocabulary), item, item_type), schema))
+        whole = shards.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))).alias("words"),
+                           F.sum(F.size(F.filter("lengths", lambda x: x.isNotNull()))).alias("sized")).first()
+        held = np.zeros(len(vocabulary))
+        for r in shards.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
+            held[r["t"]] = r["n"]
+        idf = np.log(1 + ((whole["n"] or 0) - held + 0.5) / (held + 0.5))
+        average = (whole["words"] / whole["sized"]) if whole["words"] else 1.0
+        starts = np.cumsum([0, *(len(r["terms"]) for r in mine)])
+        flat = np.array([place[t] for r in mine for t in r["terms"]], np.int64)
+        asked = spark.sparkContext.broadcast(([r[query] for r in mine], starts, flat, idf, average))  # at most query_terms pairs, or one query
+        out = StructType([StructField(query, types[0]), StructField(item, types[1])]).add("score", "double")
+        found.append(shards.mapInArrow(_search(asked, k, item_type, query_type), out))
+    scored = found[0]
+    for more in found[1:]:
+        scored = scored.unionByName(more)
     return top_k(scored, query, k, item)
 
 
@@ -55,7 +180,6 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, query: str = "que
     block with a matrix product and hands on the best k per query only. What is shuffled is the vectors once per
     query block and k rows per query and vector block.
     """
-    import numpy as np
     import pandas as pd
 
     n_v = max(1, -(-vectors.count() // vector_block))

@@ -145,19 +145,44 @@ def _(t):
     return pairs.select("image_id", F.col("a.pos").alias("l"), F.col("b.pos").alias("r"), F.round(J.text_similarity(F.col("a.text"), F.col("b.text")), 6).alias("similarity"))
 
 
-@query("j5_match_boxes")
+_MATCH_SQL = _BOX_SQL + """,
+ rounds(i, doc_id, l, r, score, taken) as (select 0, doc_id, l, r, score, false from sc where score >= 0.45
+   union all select i + 1, doc_id, l, r, score, t from (select *, bool_or(t) over (partition by doc_id, l) as al, bool_or(t) over (partition by doc_id, r) as ar from (select i, doc_id, l, r, score,
+     row_number() over (partition by doc_id, l order by score desc, r desc) = 1 and row_number() over (partition by doc_id, r order by score desc, l desc) = 1 as t from rounds where not taken)) where t or not (al or ar)),
+ picked as (select doc_id, l, r, score from rounds where taken),
+ ka as (select doc_id, pos as l, trim(text) as left_text, confidence as ac, x1 as ax1, y1 as ay1, x2 as ax2, y2 as ay2 from detections where x2 > x1 and y2 > y1), kb as (select doc_id, pos as r, trim(text) as right_text, confidence as bc, x1 as bx1, y1 as by1, x2 as bx2, y2 as by2 from other where x2 > x1 and y2 > y1),
+ lefts as (select ka.*, p.r, p.score from ka left join picked p using (doc_id, l)),
+ matched as (select coalesce(lefts.doc_id, kb.doc_id) as image_id, lefts.l as left_pos, kb.r as right_pos, case when lefts.l is null then 'other_only' when kb.r is null then 'single_source' when lower(left_text) = lower(right_text) then 'consensus' else 'disagreement' end as status,
+   coalesce(left_text, right_text) as text, coalesce(ac, bc) as confidence, case when lefts.l is not null then right_text end as other_text, case when lefts.l is not null then bc end as other_confidence, round(g.iou, 6) as iou, round(lefts.score, 4) as score,
+   case when left_text is null or right_text is null then null when lower(left_text) = lower(right_text) then 1.0 else round(1.0 - levenshtein(lower(left_text), lower(right_text))::double / greatest(length(left_text), length(right_text)), 4) end as text_similarity,
+   """ + ", ".join(f"(case when left_text is null then b{c} when right_text is null then a{c} else round_even((a{c} * greatest(ac, 0.01) + b{c} * greatest(bc, 0.01)) / (greatest(ac, 0.01) + greatest(bc, 0.01)), 0) end)::int as {c}" for c in ("x1", "y1", "x2", "y2")) + """
+   from lefts full join kb on kb.doc_id = lefts.doc_id and kb.r = lefts.r left join sc g on g.doc_id = lefts.doc_id and g.l = lefts.l and g.r = kb.r)"""
+
+
+@query("j5_match_boxes", f"with recursive {_MATCH_SQL} select * exclude (x1, y1, x2, y2) from matched", ("detections",))
 def _(t):
     return J.match_boxes(*_boxes(t)).drop("x1", "y1", "x2", "y2")
 
 
-@query("j5c_box_fusion")
+@query("j5c_box_fusion", f"with recursive {_MATCH_SQL} select image_id, left_pos, x1, y1, x2, y2 from matched where left_pos is not null and right_pos is not null", ("detections",))
 def _(t):
     return J.match_boxes(*_boxes(t)).where("left_pos is not null and right_pos is not null").select("image_id", "left_pos", "x1", "y1", "x2", "y2")
 
 
-@query("a25_ensemble_summary")
+@query("j5d_disagreements", f"""with recursive {_MATCH_SQL} select image_id, left_pos, right_pos, 'review_required' as status, case when left_pos is not null then text end as left_text, case when left_pos is not null then confidence end as left_confidence,
+ coalesce(other_text, text) as right_text, coalesce(other_confidence, confidence) as right_confidence, score, text_similarity, x1, y1, x2, y2 from matched where status in ('disagreement', 'other_only')""", ("detections",))
 def _(t):
-    return J.ensemble_summary(J.match_boxes(*_boxes(t)))
+    return J.disagreements(J.match_boxes(*_boxes(t)))
+
+
+@query("a25_ensemble_summary", f"""with recursive {_MATCH_SQL}, m as (select * from matched where image_id % 23 <> 0 and image_id % 29 <> 0 union all select * replace (case when right_pos is null then status else 'other_only' end as status, null as left_pos) from matched where image_id % 23 = 0 and image_id % 29 <> 0 and right_pos is not null
+   union all select * replace ('single_source' as status, null as right_pos) from matched where image_id % 29 = 0 and image_id % 23 <> 0 and left_pos is not null),
+ sums as (select image_id, count(*) as regions, count(*) filter (where status in ('disagreement', 'other_only')) as disagreements, case when bool_or(left_pos is not null) and bool_or(right_pos is not null) then 'comparison_review_only' when bool_or(left_pos is not null) then 'primary_only' else 'secondary_only_review' end as mode from m group by 1)
+ select p_partkey as image_id, coalesce(mode, 'no_data') as mode, coalesce(regions, 0) as regions, coalesce(disagreements, 0) as disagreements, case when disagreements > 0 then 'review_required' else 'ok' end as status from part left join sums on sums.image_id = p_partkey""", ("detections",))
+def _(t):
+    left, right = _boxes(t)
+    matched = J.match_boxes(left.where("image_id % 23 <> 0"), right.where("image_id % 29 <> 0"))
+    return J.ensemble_summary(matched, t.part.select(F.col("p_partkey").alias("image_id")))
 
 
 _AS_OF = "date '2024-07-01'"

@@ -324,6 +324,8 @@ def with_views(names: tuple[str, ...], body: str) -> str:
         return body.strip()
     prefix = ",\n".join(SQL_VIEWS[n][1] for n in ordered)
     body = body.strip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {prefix},\n{body[15:]}"
     if body[:5].lower() == "with ":
         return f"with {prefix},\n{body[5:]}"
     return f"with {prefix}\n{body}"
