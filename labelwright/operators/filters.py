@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelwright.functions.addresses import is_internal, v4_digits, v6_digits
 from labelwright.functions.geometry_checks import finite
 from labelwright.functions.text import all_of, lookup, strip
 
@@ -136,27 +137,26 @@ def enforce_registration(refs: DataFrame, as_of: Column) -> DataFrame:
 
 
 def url_class(url: Column) -> Column:
-    """Literal checks of a URL: scheme, credentials, localhost, private or reserved IPv4 ranges."""
+    """Literal checks of a URL: scheme, credentials, port, localhost, and IPv4 or IPv6 addresses that are not public."""
     text = strip(url)
     scheme = F.lower(F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     authority = F.regexp_extract(text, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
-    octet = lambda i: F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
-    a, b, c = octet(1), octet(2), octet(3)
-    internal = F.coalesce(
-        (a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | (a >= 224)
-        | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113)), F.lit(False)) | host.isin("[::1]", "[::]")
+    port = F.regexp_extract(authority, r"^(?:[^@]*@)?(?:\[[^\]]*\]|[^:\[]*)(.*)$", 1)
+    bracketed = host.startswith("[")
+    digits = F.when(bracketed, v6_digits(F.regexp_extract(host, r"^\[(.*)\]$", 1))).otherwise(v4_digits(host))
+    port_fits = port.rlike(r"^(?::\d*)?$") & (F.coalesce(F.ltrim(F.substring(port, 2, 1000), F.lit("0")).try_cast("decimal(38,0)"), F.lit(0)) <= 65535) & (F.length(port) < 30)
     return (F.when(F.length(F.coalesce(text, F.lit(""))) == 0, "invalid_url")
             .when(~scheme.isin("http", "https"), "unsupported_scheme")
             .when(authority.contains("@") , "invalid_url").when(F.length(host) == 0, "invalid_url")
+            .when(bracketed & digits.isNull(), "invalid_url")
             .when(host.isin("localhost", "localhost.localdomain") | host.endswith(".localhost"), "ssrf_blocked")
-            .when(F.length(F.regexp_extract(authority, r":([^\]]*[^\d\]][^\]]*)$", 1)) > 0, "invalid_url")
-            .when(internal, "ssrf_blocked").otherwise("public"))
+            .when(~port_fits, "invalid_url")
+            .when(F.coalesce(is_internal(digits), F.lit(False)), "ssrf_blocked").otherwise("public"))
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(strip(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?([^:/?#]*)", 1))
+    return F.lower(F.regexp_extract(strip(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1))
 
 
 def url_audit(urls: DataFrame, col: str = "url") -> DataFrame:

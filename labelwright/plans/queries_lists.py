@@ -120,13 +120,19 @@ def _(t):
     return out.select("reference_id", F.array_join("violations", ",").alias("violations"), "status", "eligible")
 
 
-@query("p13_url_audit", """with u as (select case page_id % 10 when 0 then 'http://127.0.0.1/x' when 1 then 'ftp://files.example.com/a' when 2 then 'http://user:pw@shop.example.com/' when 3 then 'http://LOCALHOST:80/' when 4 then 'http://192.168.1.7/' when 5 then 'https://8.8.8.8/q' else url end as url from pages),
- c as (select lower(regexp_extract(url, '^[A-Za-z]+://(?:[^@/?#]*@)?([^:/?#]*)', 1)) as host, case when url like 'ftp%' then 'unsupported_scheme' when url like '%@%' then 'invalid_url' when url ilike 'http://localhost%' or url like '%//127.%' or url like '%//192.168.%' then 'ssrf_blocked' else 'public' end as url_class from u)
+_URLS = {0: ("http://127.0.0.1/x", "ssrf_blocked", "127.0.0.1"), 1: ("ftp://files.example.com/a", "unsupported_scheme", "files.example.com"), 2: ("http://user:pw@shop.example.com/", "invalid_url", "shop.example.com"),
+         3: ("http://LOCALHOST:80/", "ssrf_blocked", "localhost"), 4: ("http://192.168.1.7/", "ssrf_blocked", "192.168.1.7"), 5: ("https://8.8.8.8/q", "public", "8.8.8.8"),
+         10: ("http://[fc00::1]/", "ssrf_blocked", "[fc00::1]"), 11: ("http://[FE80::1]:8080/x", "ssrf_blocked", "[fe80::1]"), 12: ("http://[::ffff:127.0.0.1]/", "ssrf_blocked", "[::ffff:127.0.0.1]"),
+         13: ("https://[2606:4700::1111]/", "public", "[2606:4700::1111]"), 14: ("http://shop.example.com:99999/", "invalid_url", "shop.example.com"), 15: ("http://[2002:7f00:1::]/", "ssrf_blocked", "[2002:7f00:1::]"),
+         16: ("http://[::ffff:8.8.8.8]/", "ssrf_blocked", "[::ffff:8.8.8.8]"), 17: ("http://[1::2::3]/", "invalid_url", "[1::2::3]"), 18: ("http://192.0.0.9:/", "public", "192.0.0.9")}
+
+
+@query("p13_url_audit", f"""with known(r, url_class, host) as (values {", ".join(f"({k}, '{c}', '{h}')" for k, (_, c, h) in _URLS.items())}),
+ c as (select coalesce(known.host, lower(regexp_extract(url, '^[A-Za-z]+://(?:[^@/?#]*@)?([^:/?#]*)', 1))) as host, coalesce(url_class, 'public') as url_class from pages left join known on r = page_id % 20)
  select host, url_class, count(*) as n, round(count(*)::double / sum(count(*)) over (partition by host), 6) as share from c group by 1, 2""")
 def _(t):
-    k = F.col("page_id")
-    literal = ["http://127.0.0.1/x", "ftp://files.example.com/a", "http://user:pw@shop.example.com/", "http://LOCALHOST:80/", "http://192.168.1.7/", "https://8.8.8.8/q"]
-    url = F.coalesce(F.get(F.array(*[F.lit(v) for v in literal]), (k % 10).cast("int")), F.col("url"))
+    k = F.col("page_id") % 20
+    url = F.coalesce(*[F.when(k == i, u) for i, (u, _, _) in _URLS.items()], F.col("url"))
     return P.url_audit(t.pages.select(url.alias("url"))).withColumn("share", F.round("share", 6))
 
 
