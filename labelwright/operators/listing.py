@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions import patterns as P
+from labelwright.functions.entities import unescape
 from labelwright.functions.text import blank_to_null, first_where, group, has, let, lookup, strip
 from labelwright.operators.lines import emit
 
@@ -30,8 +31,10 @@ LABEL_PATTERNS = {
     "consumer_care": r"^\s*(?:consumer\s*care|customer\s*care)\s*[:\-]\s*(.{2,200})$",
     "mrp": r"^\s*(?:m\.?\s*r\.?\s*p\.?|maximum\s*retail\s*price)\s*[:\-]?\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)",
 }
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&#8377;": "₹", "&#x20b9;": "₹", "&#x20B9;": "₹", "&rsquo;": "’", "&lsquo;": "‘",
-            "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+# What is no text: scripts, styles, the title, comments, declarations and instructions, also when they are never closed.
+HIDDEN = (r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<title\b.*?</title\s*>|<!--.*?(?:-->|\z)|<![^>]*>|<\?[^>]*>")
+# A tag begins with a letter; a greater-than sign within a quoted value does not end it.
+TAG = r"""</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z][^>]*>"""
 
 
 def admit_pages(pages: DataFrame) -> DataFrame:
@@ -44,17 +47,11 @@ def admit_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("retrieval_status", status)
 
 
-def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
-
-
 def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds title, meta map, JSON-LD blocks and visible text pieces."""
     h = F.col(html)
     title = blank_to_null(unescape(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    tags = F.regexp_extract_all(h, F.lit(r"(?is)(<meta\b[^>]*>)"), F.lit(1))
+    tags = F.regexp_extract_all(h, F.lit(r"""(?is)(<meta\b(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>|<meta\b[^>]*>)"""), F.lit(1))
     # double-quoted, single-quoted and bare values, each in a group of its own
     attribute = lambda tag, name: F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", i) for i in (1, 2, 3)])
     key = lambda tag: F.lower(strip(F.coalesce(F.nullif(attribute(tag, "property"), F.lit("")), attribute(tag, "name"))))
@@ -62,8 +59,8 @@ def page_parts(pages: DataFrame, html: str = "html") -> DataFrame:
                        lambda e: (F.length(e["key"]) > 0) & (F.length(e["value"]) > 0))
     blocks = F.filter(F.regexp_extract_all(h, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1)),
                       lambda b: F.length(b) > 0)
-    visible = F.regexp_replace(h, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->|<!doctype[^>]*>", "\u0001")
-    pieces = F.filter(F.transform(F.split(visible, r"(?s)\x01|<[^>]*>"), lambda s: strip(unescape(s))), lambda s: F.length(s) > 0)
+    visible = F.regexp_replace(h, HIDDEN, "\u0001")
+    pieces = F.filter(F.transform(F.split(visible, r"\x01|" + TAG), lambda s: strip(unescape(s))), lambda s: F.length(s) > 0)
     return (pages.withColumn("title", title).withColumn("meta", F.map_from_entries(_last_per_key(entries)))
             .withColumn("json_blocks", blocks).withColumn("text_lines", pieces))
 

@@ -19,7 +19,8 @@ _META = ("case when k % 3 = 0 then concat('<meta property=\"og:title\" content=\
          "<meta property=\"product:price:amount\" content=\"', cast(k + 10 as string), '\"><meta property=\"product:price:currency\" content=\"INR\">') else '' end")
 _TEXT = ("case when k % 4 = 0 then concat('<div>Net Quantity: ', case when k % 8 = 0 then 'plenty' else concat(cast(k as string), ' ml.') end, '</div><p>Made in: Nepal</p><p>MRP Rs. ', cast(k * 3 as string), '</p>"
          "<p>Manufactured by: Maker ', cast(k as string), ';</p>') else '' end")
-PAGE_EXPR = f"replace(replace(html, '</head>', concat({_META}, {_LD}, '</head>')), '</body>', concat({_TEXT}, '</body>'))"
+_ODD = ("case when k % 6 = 1 then '<p title=\"a > b\">It&#8217;s &hellip; &copy; &#x1F600; &eacute;t&eacute; &notin &amp;lt; &unknown; x < y &#150;</p><!-- <p>hidden</p> --><?php x ?><p>T&#0;&#xD800;</p>' else '' end")
+PAGE_EXPR = f"replace(replace(html, '</head>', concat({_META}, {_LD}, '</head>')), '</body>', concat({_TEXT}, {_ODD}, '</body>'))"
 _PAGES_SQL = f"pg as (select page_id, {PAGE_EXPR.replace('cast(', 'cast(')} as html from (select page_id, page_id as k, html from pages))"
 
 
@@ -39,7 +40,13 @@ def _(t):
     return L.admit_pages(rows).groupBy("retrieval_status").agg(F.count("*").alias("n"))
 
 
+_ODD_REFERENCES = {"&#8217;": "\u2019", "&hellip;": "\u2026", "&copy;": "\u00a9", "&#x1F600;": "\U0001F600", "&eacute;": "\u00e9", "&notin ": "\u00acin ", "&#150;": "\u2013", "&middot;": "\u00b7", "&#0;": "\ufffd", "&#xD800;": "\ufffd"}
 _UNESCAPE = "replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
+for _reference, _character in _ODD_REFERENCES.items():
+    _UNESCAPE = _UNESCAPE.replace("{c}", f"replace({{c}}, '{_reference}', '{_character}')")
+_PIECES_SQL = f"""v as (select page_id, unnest(ls) as s, generate_subscripts(ls, 1) as at_no from (select page_id, string_split_regex(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<!--.*?-->|<![^>]*>|<\\?[^>]*>', chr(1), 'g'),
+   '(?s)\\x01|</[a-zA-Z][^>]*>|<[a-zA-Z](?:[^"''>]|"[^"]*"|''[^'']*'')*>') as ls from pg)),
+ u as (select page_id, at_no, trim({_UNESCAPE.format(c='s')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as s from v)"""
 
 
 @query("l1_page_title", f"with {_PAGES_SQL} select page_id, trim({_UNESCAPE.format(c='ti')}) as title from (select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as ti from pg)")
@@ -47,13 +54,12 @@ def _(t):
     return parts(t).select("page_id", "title")
 
 
-@query("l1_page_text", f"""with {_PAGES_SQL}, v as (select page_id, unnest(string_split_regex(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<!--.*?-->|<!doctype[^>]*>', chr(1), 'g'), '(?s)\\x01|<[^>]*>')) as s from pg),
- u as (select page_id, trim({_UNESCAPE.format(c='s')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as s from v) select page_id, count(*) as n_pieces, sum(length(s))::bigint as chars from u where length(s) > 0 group by 1""")
+@query("l1_page_text", f"with {_PAGES_SQL}, {_PIECES_SQL} select page_id, count(*) as n_pieces, sum(length(s))::bigint as chars from u where length(s) > 0 group by 1")
 def _(t):
     return parts(t).select("page_id", F.size("text_lines").cast("bigint").alias("n_pieces"), F.aggregate("text_lines", F.lit(0), lambda a, s: a + F.length(s)).cast("bigint").alias("chars"))
 
 
-@query("l1_page_lines")
+@query("l1_page_lines", f"with {_PAGES_SQL}, {_PIECES_SQL} select page_id, (row_number() over (partition by page_id order by at_no) - 1)::int as n, s as text from u where length(s) > 0")
 def _(t):
     return parts(t).select("page_id", F.posexplode_outer("text_lines").alias("n", "text")).where("n is not null")
 
