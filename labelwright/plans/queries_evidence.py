@@ -29,10 +29,10 @@ def tok(col: str) -> str:
 
 _ALONE = ", ".join(f"' {w} '" for w in P.EVIDENCE_SINGLE_LABELS)
 _FIELD_LIST = ", ".join(f"'{f}'" for f in _VALUE_FIELDS)
-EVIDENCE_SQL = f"""{_PRICE_SQL}, vals as (select doc_id, 'maximum_retail_price_mrp' as field, value from price
+EVIDENCE_SQL = f"""{_PRICE_SQL}, vals as materialized (select doc_id, 'maximum_retail_price_mrp' as field, value from price
   union all select doc_id, field, text from kw where field in ({_FIELD_LIST})),
- dt as (select *, {tok('text')} as tok, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as nt from detections),
- ev as (select v.doc_id, v.field, v.value, d.pos, d.confidence from (select *, {tok('value')} as needle from vals) v join dt d on d.doc_id = v.doc_id
+ dt as materialized (select *, {tok('text')} as tok, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as nt from detections),
+ ev as materialized (select v.doc_id, v.field, v.value, d.pos, d.confidence from (select *, {tok('value')} as needle from vals) v join dt d on d.doc_id = v.doc_id
   where length(tok) > 2 and length(needle) > 2 and (contains(needle, tok) or contains(tok, needle)) and (tok = needle or nt > 1 or tok in ({_ALONE})))"""
 
 

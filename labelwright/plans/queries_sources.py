@@ -78,15 +78,16 @@ def _(t):
     return S.truth_violations(_truth_records(t))
 
 
-@query("s7_annotations", """select stem, class_id, error from (select p_partkey::varchar as stem, case p_partkey % 8 when 0 then 'x' else p_partkey % 6 end as c, case when p_partkey % 8 = 0 then null when p_partkey % 8 = 2 then p_partkey % 6 else p_partkey % 6 end as class_id,
-  case when p_partkey % 8 = 2 then 'tokens' when p_partkey % 8 = 0 then 'class_not_integer' when p_partkey % 6 = 5 then 'class_out_of_range' when p_partkey % 8 = 4 then 'coordinates' when p_partkey % 8 = 6 then 'outside_frame' end as error from part where p_partkey % 10 <> 9)""")
+@query("s7_annotations", """select stem, 1 as line_no, class_id, error from (select p_partkey::varchar as stem, case p_partkey % 8 when 0 then 'x' else p_partkey % 6 end as c, case when p_partkey % 8 = 0 then null when p_partkey % 8 = 2 then p_partkey % 6 else p_partkey % 6 end as class_id,
+  case when p_partkey % 8 = 2 then 'tokens' when p_partkey % 8 = 0 then 'class_not_integer' when p_partkey % 6 = 5 then 'class_out_of_range' when p_partkey % 8 = 4 then 'coordinates' when p_partkey % 8 = 6 then 'outside_frame' end as error from part where p_partkey % 10 <> 9) union all select p_partkey::varchar, 3, 0, null from part""")
 def _(t):
     k = F.col("p_partkey")
     cls = F.when(k % 8 == 0, "x").otherwise((k % 6).cast("string"))
     box = F.when(k % 8 == 4, "0.5 0.5 1.5 0.2").when(k % 8 == 6, "0.9 0.5 0.4 0.2").otherwise("0.5 0.5 0.4 0.2")
     line = F.when(k % 10 == 9, "   ").when(k % 8 == 2, F.concat_ws(" ", cls, F.lit("0.5 0.5"))).otherwise(F.concat_ws(" ", cls, box))
-    rows = t.part.select(F.lit("train").alias("split"), k.cast("string").alias("stem"), line.alias("value"))
-    return S.annotations(rows, 5).select("stem", F.col("class_id").cast("bigint").alias("class_id"), "error")
+    text = F.concat(line, F.lit("\r\n \n0 0.5 0.5 0.4 0.2\n"))
+    files = t.part.select(F.lit("train").alias("split"), k.cast("string").alias("stem"), text.alias("text"))
+    return S.annotations(S.annotation_lines(files), 5).select("stem", "line_no", F.col("class_id").cast("bigint").alias("class_id"), "error")
 
 
 @query("s8_provenance_violations", """select split, image, concat_ws(',', case when em then 'empty_value' end, case when n < 0 then 'object_count' end, case when (st = 'positive' and n = 0) or (st = 'negative' and n <> 0) then 'count_disagrees' end, case when split = 'other' then 'split' end, case when st = 'odd' then 'rights_or_state' end, case when sh then 'digest' end) as violations
@@ -104,6 +105,15 @@ def _(t):
     return S.provenance_violations(rows)
 
 
+@query("s8_provenance_conflicts", """select split || '/' || image as id, 'duplicate_image' as violation from (select 'train' as split, (doc_id % 900)::varchar as image from documents) group by 1 having count(*) > 1
+ union all select product, 'product_in_several_splits' from (select sha256(source) as product, case when doc_id % 13 = 0 then 'val' else 'train' end as split from documents) where product is not null group by 1 having count(distinct split) > 1""")
+def _(t):
+    k = F.col("doc_id")
+    rows = t.documents.select(F.lit("train").alias("split"), (k % 900).cast("string").alias("image"), F.lit(None).cast("string").alias("product_identity_sha256"))
+    products = t.documents.select(F.when(k % 13 == 0, "val").otherwise("train").alias("split"), F.lit(None).cast("string").alias("image"), F.sha2("source", 256).alias("product_identity_sha256"))
+    return S.provenance_conflicts(rows.unionByName(products))
+
+
 @query("s9_report_rows", """select o_orderkey as scan_id, o_custkey as image_id, 'RPT-' || upper(substr(sha256(o_orderkey || '|' || o_custkey), 1, 12)) as report_id, o_orderdate::date as day from orders""")
 def _(t):
     rows = t.orders.select(F.col("o_orderkey").alias("scan_id"), F.col("o_custkey").alias("image_id"), F.col("o_orderdate").alias("created_at"))

@@ -17,6 +17,7 @@ MAX_IMAGE_BYTES = 15 * 1024 * 1024
 
 OCR_SCHEMA = ("doc_id bigint, image_id string, success boolean, detections array<struct<text:string,confidence:double,"
               "bbox:array<int>,polygon:array<array<int>>>>")
+CORRUPT = "_corrupt_record"
 RULES_SCHEMA = ("meta struct<title:string,schema_version:int>, severities array<string>, rules array<struct<id:string,severity:string,chapter:string,"
                 "check:string,applies_when:string>>, lookup_tables map<string,string>")
 CORPUS_SCHEMA = (
@@ -35,9 +36,26 @@ PROVENANCE_SCHEMA = (
 # ---- recognised text ----------------------------------------------------------------------------
 
 def read_ocr_docs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Recognition results, one row per image, with detections in normal form."""
-    raw = spark.read.schema(OCR_SCHEMA).format(fmt).load(path)
-    return normal_detections(raw)
+    """Recognition results, one row per image, with detections in normal form; unreadable lines are left to
+    ``unreadable_ocr``."""
+    if fmt != "json":
+        return normal_detections(spark.read.schema(OCR_SCHEMA).format(fmt).load(path))
+    raw = _json_lines(spark, path, OCR_SCHEMA)
+    return normal_detections(raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "file_path"))
+
+
+def unreadable_ocr(spark: SparkSession, path: str) -> DataFrame:
+    """``file_path, record`` of every line that does not fit the schema."""
+    raw = _json_lines(spark, path, OCR_SCHEMA)
+    return raw.where(F.col(CORRUPT).isNotNull()).select("file_path", F.col(CORRUPT).alias("record"))
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Lines of JSON with the file they come from; what cannot be read keeps its text in ``_corrupt_record``. Lines are
+    parsed as an expression, so that no column can be pruned away from under the check."""
+    lines = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).select("value", F.col("_metadata.file_path").alias("file_path"))
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.select(parsed.alias("r"), "file_path").select("r.*", "file_path")
 
 
 def normal_detections(raw: DataFrame) -> DataFrame:
@@ -60,14 +78,15 @@ def ocr_detections(docs: DataFrame) -> DataFrame:
 # ---- files --------------------------------------------------------------------------------------
 
 def read_file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, size and exact-bytes digest of files, with suffix and size checks."""
+    """Path, size and exact-bytes digest of files, with suffix and size checks. Spark's reader passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return inventory(files)
 
 
 def inventory(files: DataFrame) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    size = F.length("content").cast("bigint")
+    # the reader knows a file's length without opening it: who asks for sizes only reads no content
+    size = (F.col("length") if "length" in files.columns else F.length("content")).cast("bigint")
     return files.select("path", size.alias("size"), F.sha2("content", 256).alias("sha256"),
                         suffix.isin(*IMAGE_SUFFIXES).alias("ext_ok"), ((size > 0) & (size <= MAX_IMAGE_BYTES)).alias("size_ok"))
 
@@ -153,14 +172,20 @@ def truth_violations(records: DataFrame) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str, n_classes: int) -> DataFrame:
-    """Box annotation lines of text files under ``<split>/labels/<stem>.txt``."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    """Box annotation lines of text files under ``<split>/labels/<stem>.txt``, numbered within their file."""
+    files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     split, stem = group(F.col("path"), r"([^/]+)/labels/[^/]+$"), group(F.col("path"), r"([^/]+)\.txt$")
-    return annotations(raw.select(split.alias("split"), stem.alias("stem"), "value"), n_classes)
+    return annotations(annotation_lines(files.select(split.alias("split"), stem.alias("stem"), "text")), n_classes)
+
+
+def annotation_lines(files: DataFrame) -> DataFrame:
+    """``(split, stem, text)`` to ``(split, stem, line_no, value)``, counted from 1; blank lines count."""
+    numbered = F.transform(F.split("text", r"\r\n|\r|\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("value")))
+    return emit(files, numbered, "split", "stem")
 
 
 def annotations(lines: DataFrame, n_classes: int) -> DataFrame:
-    """``(split, stem, value)`` to class and box with an error code; blank lines are dropped."""
+    """``(split, stem, line_no, value)`` to class and box with an error code; blank lines are dropped."""
     t = F.split(strip(F.col("value")), r"\s+")
     number = lambda i: F.get(t, F.lit(i)).try_cast("double")
     cls = F.get(t, F.lit(0)).try_cast("int")
@@ -173,12 +198,23 @@ def annotations(lines: DataFrame, n_classes: int) -> DataFrame:
     error = (F.when(F.size(t) != 5, "tokens").when(cls.isNull(), "class_not_integer").when((cls < 0) | (cls >= n_classes), "class_out_of_range")
              .when(~F.coalesce(in_range, F.lit(False)), "coordinates").when(~inside, "outside_frame"))
     return (lines.where(F.length(strip(F.col("value"))) > 0)
-            .select("split", "stem", cls.alias("class_id"), cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"), error.alias("error")))
+            .select("split", "stem", "line_no", cls.alias("class_id"), cx.alias("cx"), cy.alias("cy"), w.alias("w"), h.alias("h"), error.alias("error")))
+
+
+def read_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, what is wrong with single ones, and what is wrong between them."""
+    raw = _json_lines(spark, path, PROVENANCE_SCHEMA.removesuffix(", _corrupt string")).withColumnRenamed(CORRUPT, "_corrupt")
+    return raw, provenance_violations(raw), provenance_conflicts(raw)
 
 
-def read_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    raw = spark.read.schema(PROVENANCE_SCHEMA).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return raw, provenance_violations(raw)
+def provenance_conflicts(rows: DataFrame) -> DataFrame:
+    """``id, violation``: an image recorded twice in a split, and a product that appears in several splits. Each is one
+    aggregate with partial sums; a product's splits are at most the three allowed names and whatever else was written."""
+    image = F.concat_ws("/", "split", "image")
+    twice = rows.where(F.col("image").isNotNull()).groupBy(image.alias("id")).agg(F.count("*").alias("_n")).where("_n > 1").select("id", F.lit("duplicate_image").alias("violation"))
+    product = rows.where(F.col("product_identity_sha256").isNotNull()).groupBy(F.col("product_identity_sha256").alias("id"))
+    several = product.agg(F.min("split").alias("_a"), F.max("split").alias("_z")).where("_a <> _z").select("id", F.lit("product_in_several_splits").alias("violation"))
+    return twice.unionByName(several)
 
 
 def provenance_violations(rows: DataFrame) -> DataFrame:

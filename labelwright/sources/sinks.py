@@ -25,6 +25,11 @@ def write_reports(images: DataFrame, path: str) -> None:
     report_rows(images).write.partitionBy("day").mode("append").parquet(path)
 
 
+def replace_report_days(images: DataFrame, path: str) -> None:
+    """Write report rows so that the days among them are replaced and all other days stay: a repeated run gives no copies."""
+    report_rows(images).write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_metrics_jsonl(records: DataFrame, summary: DataFrame, path: str) -> None:
     """One JSON record per unit, and the summary next to them."""
     records.write.mode("overwrite").json(f"{path}/records")
@@ -43,3 +48,13 @@ def lay_out(df: DataFrame, table: str, buckets: int = 64) -> DataFrame:
 
 def write_laid_out(df: DataFrame, table: str, path: str, buckets: int = 64) -> None:
     lay_out(df, table, buckets).write.mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, name: str, path: str, buckets: int = 64) -> None:
+    """A table bucketed and sorted by the key it is looked up by: joins and aggregates on the key shuffle nothing.
+
+    One key lies in one bucket, so this is for keys of bounded size; ``write_laid_out`` cuts keys of any size.
+    """
+    key, recency = LAYOUTS[table]
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, key).sortBy(key, recency).saveAsTable(name)
