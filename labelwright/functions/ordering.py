@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelwright.functions.text import let
+
 
 def bucketed_row_number(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, out: str = "rn") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for keys of any size.
@@ -22,24 +24,38 @@ def bucketed_row_number(df: DataFrame, keys: list[str], order: list[Column], buc
             .withColumn(out, F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before"))
 
 
-def weighted_pick(df: DataFrame, keys: list[str], value: str, weight: Column, target, buckets: int = 4096) -> DataFrame:
+def quantile_edges(value: Column, buckets: int) -> Column:
+    """Edges of ``buckets * buckets`` ranges that hold about equally many of the aggregated values, from a mergeable
+    sketch: each task sends a sketch of bounded size, whatever it has read."""
+    n = buckets * buckets
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    return F.approx_percentile(value, shares, F.lit(4 * n))
+
+
+def bucket_of(value: Column, edges: Column, buckets: int) -> Column:
+    """Number of edges below a value: the coarse ones first, then those between two of them."""
+    below = lambda part: F.size(F.filter(part, lambda e: e < value))
+    coarse = F.filter(edges, lambda e, i: (i + 1) % buckets == 0)
+    return let(below(coarse), lambda c: c * buckets + below(F.slice(edges, c * buckets + 1, F.lit(buckets - 1))))
+
+
+def weighted_pick(df: DataFrame, keys: list[str], value: str, weight: Column, target, buckets: int = 16) -> DataFrame:
     """Per group the smallest value whose cumulative weight reaches ``target(total_weight)``.
 
-    Equal values are merged first, then summed per bucket of the value range; only the bucket that holds the
-    target is looked into.
+    Equal values are merged first, then summed per range of values; only the range that holds the target is looked into.
+    The ranges come from a sketch of the group's values, ``buckets`` squared of them: an outlier or a heap of values
+    close together changes nothing about how many fall into one. They only decide what is looked into, the result is exact.
     """
     merged = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w"))
-    span = merged.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_w").alias("_total"))
-    width = (F.col("_hi") - F.col("_lo")) / buckets
-    bucket = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(buckets - 1))).otherwise(0)
+    span = merged.groupBy(*keys).agg(quantile_edges(F.col("_v"), buckets).alias("_edges"), F.sum("_w").alias("_total"))
     spanned = merged.join(span, keys) if keys else merged.crossJoin(F.broadcast(span))  # one row when there are no keys
-    placed = spanned.withColumn("_b", bucket.cast("int"))
+    placed = spanned.withColumn("_b", bucket_of(F.col("_v"), F.col("_edges"), buckets)).drop("_edges")
     per_bucket = placed.groupBy(*keys, "_b").agg(F.sum("_w").alias("_bw"), F.first("_total").alias("_total"))
     upto = W.partitionBy(*(keys or [F.lit(1)])).orderBy("_b")
     edges = per_bucket.withColumn("_cum", F.sum("_bw").over(upto)).withColumn("_need", target(F.col("_total")))
     hit = (edges.where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_bw") < F.col("_need")))
            .select(*keys, "_b", "_need", (F.col("_cum") - F.col("_bw")).alias("_below")))
-    inside = placed.drop("_total", "_lo", "_hi").join(F.broadcast(hit) if not keys else hit, [*keys, "_b"])
+    inside = placed.drop("_total").join(F.broadcast(hit) if not keys else hit, [*keys, "_b"])
     running = F.sum("_w").over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("_v")) + F.col("_below")
     return (inside.withColumn("_run", running).where(F.col("_run") >= F.col("_need"))
             .groupBy(*keys).agg(F.min("_v").alias("value")))
