@@ -31,6 +31,13 @@ def _cell(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(44)).astype(np.int64)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that what is made from one part's texts is gone before the next is read."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def _digest(own: np.ndarray) -> int:
     return xxhash.xxh3_128_intdigest(own.tobytes())
 
@@ -45,7 +52,7 @@ def sketch(own: np.ndarray) -> bytes:
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = np.zeros(CELLS, np.uint32), []
-        for batch in batches:
+        for batch in _small(batches):
             n, s1, s2, sketches = [], [], [], []
             for own in shingle_sets(batch.column(2), width):
                 held.append(_cell(own))
@@ -91,7 +98,7 @@ def _short_lists(width: int, percent: int, seen):
     """The n - T + 1 rarest shingles of each set: two sets of n and T shingles or more in common meet in one of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = seen.value
-        for batch in batches:
+        for batch in _small(batches):
             tokens, sizes, marks = [], [], []
             for own in shingle_sets(batch.column(2), width):
                 keep = len(own) + (-percent * len(own)) // 100 + 1 if len(own) else 0
@@ -192,7 +199,7 @@ def _link_block(percent: int):
 def _sets(width: int):
     """The shingle set of each class in each of its blocks, from the texts of its document that have this very set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             wanted = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
             sets = [own.tobytes() if _digest(own) >> 64 == s else None for own, s in zip(shingle_sets(batch.column(2), width), wanted)]
             found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "block", "shingles"])
