@@ -289,6 +289,5 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     stay = stay.select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("one").alias(one))
     joined = docs.join(stay, F.col(doc_id).cast("long").eqNullSafe(F.col(i)) & (text_key(F.col(doc_id), F.col(text)) == F.col(k)))
     first = F.row_number().over(W.partitionBy(i, k).orderBy(F.col(text)))
-    single = joined.where(F.col(one)).withColumn(place, first).where(F.col(place) == 1)
-    columns = [F.col(f"`{x}`") for x in docs.columns]
-    return single.select(*columns).unionByName(joined.where(~F.col(one)).select(*columns))
+    numbered = joined.withColumn(place, first).where(~F.col(one) | (F.col(place) == 1))
+    return numbered.select(*[F.col(f"`{x}`") for x in docs.columns])
