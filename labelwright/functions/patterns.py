@@ -189,6 +189,10 @@ REGION_CLASS_FIELDS = {
     "mfg_date_batch": ["month_and_year_of_manufacture_or_packing"],
     "consumer_care": ["consumer_care_details"],
 }
+#: Evidence id of a region is this followed by its class.
+REGION_ID_PREFIX = "yolo_"
+REGION_BATCH = r"batch\s*(?:no\.?|number)?\s*[:\-]?\s*([A-Za-z0-9\-/]{2,20})"
+REGION_EXPIRY = rf"(?:{EXPIRY_KEYWORD})\s*[:\-]?\s*{EXPIRY_VALUE}"
 RETAIL_FIELDS = ["manufacturer_packer_importer_details", "country_of_origin", "common_generic_name_of_commodity",
                  "net_quantity", "month_and_year_of_manufacture_or_packing", "maximum_retail_price_mrp",
                  "unit_sale_price", "consumer_care_details"]

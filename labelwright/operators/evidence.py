@@ -219,28 +219,52 @@ def with_fields(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
 
 # ---- overlays -----------------------------------------------------------------------------------
 
+def best_regions(regions: DataFrame) -> DataFrame:
+    """Per document and class the region detected with most confidence, the earliest on ties; one partial aggregate.
+
+    A region without a detection confidence counts as 0; one without a class is left out.
+    """
+    order = F.struct(F.coalesce("detection_confidence", F.lit(0.0)), -F.col("pos"))
+    best = regions.where("class_name is not null").groupBy("doc_id", "class_name").agg(
+        F.max_by(F.struct("full_text", "confidence"), order).alias("_r"))
+    return best.select("doc_id", "class_name", F.nullif(strip(F.col("_r.full_text")), F.lit("")).alias("text"), F.col("_r.confidence").alias("confidence"))
+
+
 def overlay_regions(fields: DataFrame, regions: DataFrame) -> DataFrame:
-    """Per class the region detected with most confidence (earliest on ties) overrides the fields of its class.
+    """The best region of a class overrides the fields of its class, also with nothing when it holds no text.
 
     ``fields(doc_id, field, value, confidence)``, ``regions(doc_id, pos, class_name, detection_confidence,
-    full_text, confidence)``.
+    full_text, confidence)``. A region's border is the border of its block, so the text of a care region is its address
+    whole, with the first telephone number and e-mail address in it. Regions of an unknown class change nothing.
     """
-    best = (regions.groupBy("doc_id", "class_name")
-            .agg(F.max_by(F.struct("full_text", "confidence"), F.struct("detection_confidence", -F.col("pos"))).alias("r")))
     mapping = F.create_map(*[x for c, fs in P.REGION_CLASS_FIELDS.items()
                              for x in (F.lit(c), F.array(*[F.lit(f) for f in fs]))])
-    overlay = (best.withColumn("field", F.explode_outer(F.try_element_at(mapping, F.col("class_name"))))
+    care = F.col("class_name") == "consumer_care"
+    evidence = F.when(F.col("text").isNotNull(), F.array(F.concat(F.lit(P.REGION_ID_PREFIX), "class_name"))).otherwise(F.expr("cast(array() as array<string>)"))
+    overlay = (best_regions(regions).withColumn("field", F.explode_outer(F.try_element_at(mapping, F.col("class_name"))))
                .where("field is not null")
-               .select("doc_id", "field", F.nullif(strip(F.col("r.full_text")), F.lit("")).alias("_value"),
-                       F.col("r.confidence").alias("_confidence"), F.lit(True).alias("_over")))
-    joined = fields.join(overlay, ["doc_id", "field"], "full_outer")
+               .select("doc_id", "field", F.col("text").alias("_value"), F.col("confidence").alias("_confidence"), evidence.alias("_ids"),
+                       F.when(care, F.col("text")).alias("care_address"),
+                       F.when(care, group(F.col("text"), P.PHONE, 0)).alias("care_telephone_number"),
+                       F.when(care, group(F.col("text"), P.EMAIL, 0)).alias("care_email_address"), F.lit(True).alias("_over")))
+    joined = fields.select("doc_id", "field", "value", "confidence").join(overlay, ["doc_id", "field"], "full_outer")
     over = F.col("_over").isNotNull()
-    return joined.select("doc_id", "field",
-                         F.when(over, F.col("_value")).otherwise(F.col("value")).alias("value"),
+    value = F.when(over, F.col("_value")).otherwise(F.col("value"))
+    return joined.select("doc_id", "field", value.alias("value"), value.isNotNull().alias("detected"),
                          F.when(over, F.col("_confidence")).otherwise(F.col("confidence")).alias("confidence"),
+                         F.coalesce("_ids", F.expr("cast(array() as array<string>)")).alias("region_ids"),
+                         "care_address", "care_telephone_number", "care_email_address",
                          F.when(over, "region").otherwise("page").alias("source"))
 
 
+def region_metadata(regions: DataFrame) -> DataFrame:
+    """Batch number and expiry read from the date region of each document; a document whose region states neither is left out."""
+    dates = best_regions(regions.where("class_name = 'mfg_date_batch'"))
+    read = dates.select("doc_id", group(F.col("text"), P.REGION_BATCH).alias("batch_lot_number"),
+                        strip(group(F.col("text"), P.REGION_EXPIRY)).alias("expiry_or_best_before_date"))
+    return read.where("batch_lot_number is not null or expiry_or_best_before_date is not null")
+
+
 def overlay_supplied(fields: DataFrame, supplied: DataFrame, page: DataFrame) -> DataFrame:
     """Supplied values override; a value without its own confidence takes the page's."""
     given = (supplied.join(page, "doc_id", "left")

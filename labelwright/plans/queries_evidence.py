@@ -54,14 +54,27 @@ def _(t):
 _CLASS_FIELDS = ", ".join(f"('{c}', {i}, '{f}')" for i, (c, fs) in enumerate(P.REGION_CLASS_FIELDS.items()) for f in fs)
 
 
-@query("t31_overlay_regions", f"""with best as (select doc_id, class_name, full_text, confidence from (select *, row_number() over (partition by doc_id, class_name
-   order by detection_confidence desc, pos) rn from regions) where rn = 1),
- ov as (select doc_id, m.field, nullif(trim(full_text), '') as v, confidence as c from best b join (values {_CLASS_FIELDS}) m(class_name, i, field) using (class_name))
- select coalesce(b.doc_id, ov.doc_id) as doc_id, coalesce(b.field, ov.field) as field, case when ov.c is not null then ov.v else b.value end as value,
-  case when ov.c is not null then ov.c else b.confidence end as confidence, case when ov.c is not null then 'region' else 'page' end as source
- from base_fields b full outer join ov on ov.doc_id = b.doc_id and ov.field = b.field""", ("base_fields", "regions"))
-def _(t):
-    return E.overlay_regions(t.view("base_fields"), t.view("regions"))
+_BEST_SQL = """best as (select doc_id, class_name, nullif(trim(full_text), '') as full_text, confidence from (select *, row_number() over (partition by doc_id, class_name
+   order by detection_confidence desc, pos) rn from regions) where rn = 1)"""
+
+
+@query("t31_overlay_regions", f"""with {_BEST_SQL},
+ ov as (select doc_id, m.field, full_text as v, confidence as c, case when class_name = 'consumer_care' then full_text end as care, '{P.REGION_ID_PREFIX}' || class_name as id
+  from best b join (values {_CLASS_FIELDS}) m(class_name, i, field) using (class_name)),
+ j as (select coalesce(b.doc_id, ov.doc_id) as doc_id, coalesce(b.field, ov.field) as field, c is not null as over, case when c is not null then v else b.value end as value,
+  case when c is not null then c else b.confidence end as confidence, care, id from base_fields b full outer join ov on ov.doc_id = b.doc_id and ov.field = b.field)
+ select doc_id, field, value, value is not null as detected, confidence, case when over and value is not null then id else '' end as region_ids, care as care_address,
+  nullif(regexp_extract(care, {q(P.PHONE)}), '') as care_telephone_number, nullif(regexp_extract(care, {q(P.EMAIL)}), '') as care_email_address,
+  case when over then 'region' else 'page' end as source from j""", ("base_fields", "regions"))
+def _(t):
+    return E.overlay_regions(t.view("base_fields"), t.view("regions")).withColumn("region_ids", F.array_join("region_ids", ","))
+
+
+@query("t31_region_metadata", f"""with {_BEST_SQL}, md as (select doc_id, nullif(regexp_extract(full_text, {q(P.REGION_BATCH)}, 1), '') as batch_lot_number,
+  nullif(trim(regexp_extract(full_text, {q(P.REGION_EXPIRY)}, 1)), '') as expiry_or_best_before_date from best where class_name = 'mfg_date_batch')
+ select * from md where batch_lot_number is not null or expiry_or_best_before_date is not null""", ("regions",))
+def _(t):
+    return E.region_metadata(t.view("regions"))
 
 
 @query("t32_overlay_supplied", """with sup as (select p_partkey as doc_id, case when p_partkey % 2 = 0 then 'net_quantity' else 'supplier_note' end as field, 'given ' || p_name as value,

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelwright.functions import patterns as P
+from labelwright.functions.text import group
 from labelwright.operators import lookups as K
 from labelwright.operators import lots as C
 from labelwright.operators import rules as R
 from labelwright.plans.queries_lines import q
 from labelwright.plans.reference_tables import RULESET, sql_values, table
 from labelwright.plans.registry import query
+from labelwright.plans.views import FACTS
 
 WIDE = ("wide_facts",)
 
@@ -192,15 +194,19 @@ def _(t):
     return out.select("doc_id", "rule_id", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-@query("r18_trace_evidence", """select doc_id, 'tax' as rule_id, 'tax.check.all[0]' as path, 'region_' || doc_id % 5 as region_id, case when doc_id % 3 = 0 then case when doc_id % 14 = 1 then 0.6::double end when doc_id % 14 <> 1 then 0.95::double end as extraction_confidence
- from wide_facts where k_mrp_text""", WIDE)
+_EVERY_FACT = {"rules": [{"id": "evidence", "check": {"all": [leaf(f"{ns}.{key}", "exists") for ns, key, *_ in FACTS]}}]}
+
+
+@query("r18_trace_evidence", " union all ".join(f"""select doc_id, 'evidence' as rule_id, 'evidence.check.all[{i}]' as path, 'region_' || doc_id % 5 as region_id,
+  case when doc_id % 3 = 0 then case when doc_id % 14 = 1 then 0.6::double end when doc_id % 14 <> 1 then 0.95::double end as extraction_confidence from wide_facts where k_{key}"""
+                                                for i, (_ns, key, _present, _known, kind, _value) in enumerate(FACTS) if kind != "v_bool"), WIDE)
 def _(t):
-    price = t.view("facts").where("key = 'mrp_text'")
     k = F.col("doc_id")
-    rows = price.select("doc_id", F.col("evidence_ids")[0].alias("region_id"), F.col("v_str").alias("value"), F.lit(0.95).alias("extraction_confidence"))
+    facts = t.view("facts").where("known and size(evidence_ids) > 0")
+    rows = facts.select("doc_id", F.col("evidence_ids")[0].alias("region_id"), R.shown(F.struct(*facts.columns)).alias("value"), F.lit(0.95).alias("extraction_confidence"))
     conflicting = rows.where(k % 14 == 1).withColumn("extraction_confidence", F.lit(0.6))
     extraction = rows.withColumn("value", F.when(k % 3 == 0, "other").otherwise(F.col("value"))).unionByName(conflicting)
-    return R.trace_evidence(R.trace_rows(t.view("facts"), _TAX_RULE), extraction)
+    return R.trace_evidence(R.trace_rows(t.view("facts"), _EVERY_FACT), extraction)
 
 
 _NUM = r"([0-9]+(?:[.,][0-9]+)?)\s*(kilograms?|kgs?|grams?|gms?|g|mls?|l|cm|m)\b"
@@ -209,6 +215,11 @@ _NUM = r"([0-9]+(?:[.,][0-9]+)?)\s*(kilograms?|kgs?|grams?|gms?|g|mls?|l|cm|m)\b
 @query("r19_derive_facts", f"""with b as (select *, confidence >= 0.8 as kn from base_fields),
  qy as (select *, regexp_extract(value, {q(_NUM)}, 1)::double as a, lower(regexp_extract(value, {q(_NUM)}, 2)) as u from b where field = 'net_quantity' and regexp_matches(value, {q(_NUM)})),
  f as (select doc_id, 'label' as namespace, 'country_of_origin' as key, kn, null::double as v_num, value as v_str, null::boolean as v_bool from b where field = 'country_of_origin'
+  union all select doc_id, 'label', 'generic_name', kn, null, value, null from b where field = 'common_generic_name_of_commodity'
+  union all select doc_id, 'package', 'commodity', kn, null, value, null from b where field = 'common_generic_name_of_commodity' and kn
+  union all select doc_id, 'label', 'consumer_care_address', kn, null, value, null from b where field = 'consumer_care_details'
+  union all select doc_id, 'label', 'consumer_care_phone', kn, null, regexp_extract(value, {q(P.PHONE)}), null from b where field = 'consumer_care_details' and regexp_matches(value, {q(P.PHONE)})
+  union all select doc_id, 'label', 'consumer_care_email', kn, null, regexp_extract(value, {q(P.EMAIL)}), null from b where field = 'consumer_care_details' and regexp_matches(value, {q(P.EMAIL)})
   union all select doc_id, 'label', 'mfg_month_year', kn, null, value, null from b where field = 'month_and_year_of_manufacture_or_packing'
   union all select doc_id, 'label', 'net_quantity_text', kn, null, value, null from qy union all select doc_id, 'package', 'net_quantity_value', kn, a, null, null from qy
   union all select doc_id, 'package', 'net_quantity_unit', kn, null, u, null from qy union all select doc_id, 'package', 'net_quantity_basis', kn, null, case when u in ('g','kg') then 'mass' else 'volume' end, null from qy
@@ -222,19 +233,34 @@ _NUM = r"([0-9]+(?:[.,][0-9]+)?)\s*(kilograms?|kgs?|grams?|gms?|g|mls?|l|cm|m)\b
   union all select doc_id, 'label', 'unit_sale_price_unit', kn, null, 'per kg', null from b where field = 'unit_sale_price')
  select doc_id, namespace, key, kn as known, case when kn then round(v_num, 6) end as v_num, case when kn then v_str end as v_str, case when kn then v_bool end as v_bool from f""", ("base_fields",))
 def _(t):
-    none = F.lit(None).cast("string")
-    fields = t.view("base_fields").withColumn("detected", F.lit(True)).withColumn("region_ids", F.expr("cast(array() as array<string>)"))
-    for c in ("care_name", "care_address", "care_telephone_number", "care_email_address"):
-        fields = fields.withColumn(c, none)
-    out = R.derive_facts(fields.where("field in ('country_of_origin', 'month_and_year_of_manufacture_or_packing', 'net_quantity', 'maximum_retail_price_mrp', 'unit_sale_price')"))
+    care = F.when(F.col("field") == "consumer_care_details", F.col("value"))
+    fields = t.view("base_fields").select(
+        "*", F.lit(True).alias("detected"), F.expr("cast(array() as array<string>)").alias("region_ids"), F.lit(None).cast("string").alias("care_name"),
+        care.alias("care_address"), group(care, P.PHONE, 0).alias("care_telephone_number"), group(care, P.EMAIL, 0).alias("care_email_address"))
+    out = R.derive_facts(fields)
     return out.select("doc_id", "namespace", "key", "known", F.round("v_num", 6).alias("v_num"), "v_str", "v_bool")
 
 
-@query("r19_merge_facts", """select doc_id, 'package' as namespace, 'commodity' as key, case when doc_id % 2 = 0 then 'overridden' else v_commodity end as v_str from wide_facts where k_commodity or doc_id % 2 = 0""", WIDE)
+_LATER = {"v_str": "case when k % 2 = 0 and {0} is not null then 'overridden' else {0} end", "v_num": "case when k % 2 = 0 then {0} + 1 else {0} end"}
+
+
+def _merged_sql(ns: str, key: str, present: str, known: str, kind: str, value: str) -> str:
+    value = _LATER.get(kind, "{0}").format(f"case when {known} then {value.replace('ARR(nm, category)', '[nm, category]')} end")
+    cells = {"v_num": "null::double", "v_str": "null::varchar", "v_bool": "null::boolean", "v_arr": "null::varchar[]"} | {kind: value}
+    return f"select k as doc_id, '{ns}' as namespace, '{key}' as key, {known} as known, " + ", ".join(f"{c} as {n}" for n, c in cells.items()) + f" from label_base where {present}"
+
+
+@query("r19_merge_facts", "select * replace (round(v_num, 6) as v_num, array_to_string(v_arr, '|') as v_arr) from (" + " union all ".join(_merged_sql(*f) for f in FACTS)
+       + " union all select k, 'package', 'note', true, null, 'later only', null, null from label_base where k % 4 = 0)", ("label_base",))
 def _(t):
-    base = t.view("facts").where("key = 'commodity'")
-    later = t.view("facts").where("key = 'net_quantity_unit' and doc_id % 2 = 0").withColumn("key", F.lit("commodity")).withColumn("v_str", F.lit("overridden"))
-    return R.merge_facts([base, later]).select("doc_id", "namespace", "key", "v_str")
+    base = t.view("facts")
+    later = base.where("doc_id % 2 = 0").withColumns({"v_str": F.when(F.col("v_str").isNotNull(), "overridden"), "v_num": F.col("v_num") + 1})
+    only = t.part.where("p_partkey % 4 = 0").select(
+        F.col("p_partkey").alias("doc_id"), F.lit("package").alias("namespace"), F.lit("note").alias("key"), F.lit(True).alias("known"),
+        F.lit(None).cast("double").alias("v_num"), F.lit("later only").alias("v_str"), F.lit(None).cast("boolean").alias("v_bool"),
+        F.expr("cast(null as array<string>)").alias("v_arr"), F.expr("cast(array() as array<string>)").alias("evidence_ids"))
+    return R.merge_facts([base, later, only]).select("doc_id", "namespace", "key", "known", F.round("v_num", 6).alias("v_num"), "v_str", "v_bool",
+                                                      F.array_join("v_arr", "|").alias("v_arr"))
 
 
 @query("r20_canonical_quantity", f"select doc_id, round({_CANONICAL_SQL}, 9) as canonical from wide_facts", WIDE)

@@ -121,8 +121,7 @@ REGION_CLASS_SQL = ("element_at(array('product_identity','mrp','unit_sale_price'
 
 
 def regions(t) -> DataFrame:
-    d = detections(t).where("(doc_id + pos) % 4 = 0")
-    return d.select("doc_id", "pos", F.expr(REGION_CLASS_SQL).alias("class_name"),
+    return detections(t).select("doc_id", "pos", F.expr(REGION_CLASS_SQL).alias("class_name"),
                     ((F.col("doc_id") * 3 + F.col("pos") * 5) % 10 / F.lit(10.0)).alias("detection_confidence"),
                     F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("text")).alias("full_text"), "confidence")
 
@@ -291,7 +290,7 @@ SQL_VIEWS.update({
     "regions": (("detections",), """regions as (select doc_id, pos, ['product_identity','mrp','unit_sale_price','net_quantity','entity_details',
   'country_of_origin','mfg_date_batch','consumer_care','other'][(doc_id + pos) % 9 + 1] as class_name,
   ((doc_id * 3 + pos * 5) % 10) / 10.0::double as detection_confidence, case when pos % 5 = 0 then '' else text end as full_text, confidence
-  from detections where (doc_id + pos) % 4 = 0)"""),
+  from detections)"""),
     "revisions": ((), """revisions as (select o_orderkey as revision_id, o_custkey as product_id, o_custkey + o_orderkey % 3 * 1000000 as manufacturer_id, o_orderdate as created_at,
   case when o_orderkey % 7 <> 0 then case o_orderstatus when 'O' then 'PENDING_OFFICIAL_REVIEW' when 'P' then 'UNDER_OFFICIAL_REVIEW' else 'DECISION_RECORDED' end end as review_status,
   case when o_orderkey % 5 <> 0 then (o_orderkey % 101)::double end as score, case when o_orderkey % 4 <> 0 then o_orderkey * 10 end as image_key, o_orderpriority as priority from orders)"""),
