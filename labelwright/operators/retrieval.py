@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from labelwright.functions.sizing import broadcast_if_small
 from labelwright.functions.text import tokens
+from labelwright.operators.lookups import contained_entries
 from labelwright.session import cut_lineage
 
 BM25_K1, BM25_B = 1.5, 0.75
@@ -224,9 +224,8 @@ def rrf(rankings: list[DataFrame], k0: int = 60, k: int = 10, query: str = "quer
 
 
 def expand_queries(queries: DataFrame, synonyms: DataFrame, query: str = "query_id") -> DataFrame:
-    """Append the expansion of every pattern a query contains; ``synonyms(pattern, expansion)`` is a small table."""
-    small = broadcast_if_small(synonyms, 10_000)
-    hits = queries.join(small, F.lower(F.col("text")).contains(F.lower(F.col("pattern")))).groupBy(query).agg(
+    """Append the expansion of every pattern a query contains; ``synonyms(pattern, expansion)`` is found by its windows."""
+    hits = contained_entries(queries, query, "text", synonyms, "pattern").groupBy(query).agg(
         F.array_join(F.array_sort(F.collect_set("expansion")), " ").alias("_more"))
     j = queries.join(hits, query, "left")
     return j.select(query, F.concat_ws(" ", "text", "_more").alias("text"), F.col("_more").isNotNull().alias("rewritten"))
