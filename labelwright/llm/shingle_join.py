@@ -20,6 +20,10 @@ from labelwright.session import cut_lineage
 CELLS = 1 << 20
 _PART = 1 << 16
 BLOCK_DOCS = 1024
+#: Shingles of one side of a block, but for a single larger document: documents of any length give blocks of like size.
+BLOCK_SHINGLES = 1 << 20
+#: Bytes of shingle sets handed on at once.
+SET_BYTES = 1 << 22
 MU = 0.0085
 SIGNED = "doc_id long, key long, n int, s1 long, s2 long, sketch binary, part int, counts binary"
 
@@ -118,11 +122,18 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order], np.int64)
-    owner = np.repeat(np.arange(len(order)), size)
     every = np.concatenate([sets[i] for i in order]) if order else np.zeros(0, np.uint64)
-    tokens, place, times = np.unique(every, return_inverse=True, return_counts=True)
-    by_token = np.lexsort((owner, place))
-    lists, ends = owner[by_token], np.concatenate([[0], np.cumsum(times)])
+    by_token = np.argsort(every, kind="stable")
+    every = every[by_token]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    ends = np.append(np.flatnonzero(new), len(every))
+    times = np.diff(ends)
+    del every
+    place = np.empty(len(new), np.int32)
+    place[by_token] = np.cumsum(new, dtype=np.int32) - 1
+    lists = np.repeat(np.arange(len(order), dtype=np.int32), size)[by_token]
+    del by_token, new
     parent = list(range(len(order)))
 
     def root(x: int) -> int:
@@ -181,33 +192,48 @@ def _rule_out(percent: int):
 
 def _link_block(percent: int):
     def run(block: pa.Table) -> pa.Table:
-        held = dict(zip(block.column("id").to_pylist(), block.column("shingles").to_pylist()))
+        held = {i: np.frombuffer(s.as_buffer(), np.uint64) for i, s in zip(block.column("id").to_pylist(), block.column("shingles"))}
         ids = list(held)
-        links = divide_skip([np.frombuffer(held[i], np.uint64) for i in ids], percent)
+        links = divide_skip(list(held.values()), percent)
         return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
     return run
 
 
 def _sets(width: int):
     """The shingle set of each class in each of its blocks, from the texts of its document that have this very set."""
+    def part(batch: pa.RecordBatch, rows: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        at = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sets, pa.binary())], ["id", "block", "shingles"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64).tolist()
-            sets = [own.tobytes() if _digest(own) >> 64 == s else None for own, s in zip(shingle_sets(batch.column(2), width), wanted)]
-            found = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["id", "block", "shingles"])
-            yield found.filter(found.column(2).is_valid())
+            rows, sets, size = [], [], 0
+            for i, own in enumerate(shingle_sets(batch.column(2), width)):
+                if _digest(own) >> 64 == wanted[i]:
+                    rows.append(i)
+                    sets.append(own.tobytes())
+                    size += own.nbytes
+                if size >= SET_BYTES:
+                    yield part(batch, rows, sets)
+                    rows, sets, size = [], [], 0
+            yield part(batch, rows, sets)
     return run
 
 
-def _blocks(nodes: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """``(node, component, n)`` to ``(node, block)``: small groups are packed together; a group above ``block_docs`` is
-    cut by size, and each two cuts whose sizes can match form a block."""
-    place = F.row_number().over(W.partitionBy("component").orderBy("n", "node"))
-    cut = nodes.withColumn("cut", F.floor((place - 1) / block_docs).cast("int"))
+def _blocks(nodes: DataFrame, percent: int, block_docs: int, block_shingles: int | None = None) -> DataFrame:
+    """``(node, component, n)`` to ``(node, block)``: small groups are packed together; a group above ``block_docs`` (or
+    ``block_shingles``, where sets travel and not sketches) is cut by size, and each two cuts whose sizes can match form a block."""
+    by_size = W.partitionBy("component").orderBy("n", "node")
+    number = F.floor((F.row_number().over(by_size) - 1) / block_docs)
+    packs = max(1, nodes.count() // block_docs)
+    if block_shingles:
+        number += F.floor((F.sum("n").over(by_size.rowsBetween(W.unboundedPreceding, 0)) - 1) / block_shingles)
+        packs = max(packs, (nodes.agg(F.sum("n")).first()[0] or 0) // block_shingles)
+    cut = nodes.withColumn("cut", number.cast("int"))
     cuts = cut.groupBy("component", "cut").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("docs"))
     group = cuts.groupBy("component").agg(F.count("*").alias("cuts"))
-    packs = F.lit(max(1, nodes.count() // block_docs))
-    small = cut.join(group.where("cuts = 1"), "component").select("node", F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), packs).cast("string")).alias("block"))
+    small = cut.join(group.where("cuts = 1"), "component").select("node", F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(packs)).cast("string")).alias("block"))
     large = cuts.join(group.where("cuts > 1"), "component").drop("cuts", "docs")
     other = large.select("component", F.col("cut").alias("cut2"), F.col("low").alias("low2"))
     met = large.join(other, "component").where((F.col("cut") <= F.col("cut2")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("low2")))
@@ -247,7 +273,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str, width: int, percent: int,
     drawn = grouped.join(_blocks(grouped.select("node", "component", "n"), percent, block_docs).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
     likely = drawn.select("block", "node", "component", "n", "sketch").groupBy("block").applyInArrow(_rule_out(percent), "node long, component long, n int")
     nodes = cut_lineage(likely.distinct())
-    blocks = _blocks(nodes, percent, block_docs).join(classes.select(F.col("class").alias("node"), "rep", "s1"), "node")
+    blocks = _blocks(nodes, percent, block_docs, BLOCK_SHINGLES).join(classes.select(F.col("class").alias("node"), "rep", "s1"), "node")
     met = base.join(blocks, base.doc_id == blocks.rep).select("node", "block", "text", "s1")
     found = met.mapInArrow(_sets(width), "id long, block string, shingles binary").groupBy("block").applyInArrow(_link_block(percent), "a long, b long")
     return held, classes.select("class", "rep", "rep_key"), cut_lineage(found)

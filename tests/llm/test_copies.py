@@ -45,6 +45,14 @@ def test_links_of_copies(spark, width, percent, block):
     assert sorted(tuple(r) for r in got.collect()) == brute_links(rows, width, percent)
 
 
+def test_blocks_are_cut_by_their_shingles_too(spark, monkeypatch):
+    """Blocks of few shingles, some of them of a single document, lose no link."""
+    monkeypatch.setattr(shingle_join, "BLOCK_SHINGLES", 60)
+    rows = copied_documents()
+    got = shingle_join.link_documents(documents(spark, rows), width=4, percent=60)
+    assert sorted(tuple(r) for r in got.collect()) == brute_links(rows, 4, 60)
+
+
 def test_links_of_the_given_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{PATH}/documents.parquet").collect()]
     assert sorted(tuple(r) for r in QUERIES["op7_shingle_join"](spark, PATH).collect()) == brute_links(rows, 4, 85)
